@@ -129,20 +129,30 @@ def offset_at(utc_us: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc_us), zone)) - utc_us
 
 
-def place(local_us: Column, zone: Column) -> Column:
-    """struct<utc_us, reading> of a wall time in a zone.
+def with_place(df: DataFrame, local_us: Column, zone: Column, name: str) -> DataFrame:
+    """Add struct<utc_us, reading> of a wall time in a zone; null where either is null.
 
     The offsets a day before and a day after are the only ones that can hold, as no zone changes
     its offset twice within two days. Twice: both hold, the earlier instant counts. Skipped: neither
     holds, and the offset before moves the time later by what the clock skipped.
     """
     day = 86_400_000_000
-    before, after = offset_at(local_us - day, zone), offset_at(local_us + day, zone)
-    holds = lambda o: offset_at(local_us - o, zone) == o
+    l, before, after = F.col("_l"), F.col("_before"), F.col("_after")
+    holds = lambda o: offset_at(l - o, F.col("_zone")) == o
+    got = lambda us, reading: F.struct(us.alias("utc_us"), F.lit(reading).alias("reading"))
     return (
-        F.when(before == after, F.struct((local_us - before).alias("utc_us"), F.lit("single").alias("reading")))
-        .when(holds(before) & holds(after), F.struct(local_us - F.greatest(before, after), F.lit("twice")))
-        .when(holds(before), F.struct(local_us - before, F.lit("single")))
-        .when(holds(after), F.struct(local_us - after, F.lit("single")))
-        .otherwise(F.struct(local_us - before, F.lit("skipped")))
+        df.withColumn("_l", local_us)
+        .withColumn("_zone", zone)
+        .withColumn("_before", offset_at(l - day, F.col("_zone")))
+        .withColumn("_after", offset_at(l + day, F.col("_zone")))
+        .withColumn("_holds", F.struct(holds(before).alias("b"), holds(after).alias("a")))
+        .withColumn(
+            name,
+            F.when(before == after, got(l - before, "single"))
+            .when(F.col("_holds.b") & F.col("_holds.a"), got(l - F.greatest(before, after), "twice"))
+            .when(F.col("_holds.b"), got(l - before, "single"))
+            .when(F.col("_holds.a"), got(l - after, "single"))
+            .when(before.isNotNull(), got(l - before, "skipped")),
+        )
+        .drop("_l", "_zone", "_before", "_after", "_holds")
     )

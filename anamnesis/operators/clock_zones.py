@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.functions.timestamps import place
+from anamnesis.functions.timestamps import with_place
 
 #: A spelling may lack its seconds, so instants this near count as equal.
 SLACK_US = 60_000_000
@@ -32,10 +32,10 @@ def estimate(walls: DataFrame, candidates: Sequence[str]) -> DataFrame:
     declared zone, then to the first name. An origin without wall times is not in the result.
     """
     tried = walls.withColumn("zone_name", F.explode(F.array(*[F.lit(z) for z in candidates])))
-    utc = place(F.col("local_us"), F.col("zone_name"))["utc_us"]
     broken = lambda x: F.coalesce(x, F.lit(False)).cast("int")
     by_zone = (
-        tried.withColumn("utc", utc)
+        with_place(tried, F.col("local_us"), F.col("zone_name"), "p")
+        .withColumn("utc", F.col("p.utc_us"))
         .groupBy("origin", "zone_name")
         .agg(
             F.count(F.lit(1)).alias("n_values"),

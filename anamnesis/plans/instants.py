@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anamnesis.functions.instants import rfc3339
-from anamnesis.functions.timestamps import place, with_reading
+from anamnesis.functions.timestamps import with_place, with_reading
 from anamnesis.operators.clock_zones import abbreviations, estimate
 from anamnesis.operators.ordered import neighbours
+from anamnesis.session import cut
 from anamnesis.sources.tables import table
 
 #: Records of a chain that are scanned together.
@@ -68,7 +69,8 @@ def _values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         "at_most", F.col("value_after")
     )
     columns = [*_TAGGED, "declared", "r", "at_least", "at_most"]
-    return reduce(DataFrame.unionByName, [x.select(columns) for x in (asked, met, chain)]).where("r is not null"), profiles
+    # Read once, used twice; and no filter on r is pushed into the patterns, which would multiply them.
+    return cut(reduce(DataFrame.unionByName, [x.select(columns) for x in (asked, met, chain)])).where("r is not null"), profiles
 
 
 def zone_estimates(values: DataFrame, zones: list[str]) -> DataFrame:
@@ -87,15 +89,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     zones = _zones(profiles)
     chosen = zone_estimates(values, zones).select("origin", "zone_name")
     local = F.col("r.local_us")
-    zone = F.coalesce("zone_name", "declared", F.lit("UTC"))
-    placed = (
+    joined = (
         values.join(chosen, values["origin"].eqNullSafe(chosen["origin"]), "left")
         .drop(chosen["origin"])
-        .withColumn("zone", zone)
+        .withColumn("zone", F.coalesce("zone_name", "declared", F.lit("UTC")))
         .withColumn("named", F.try_element_at(abbreviations(zones), F.concat_ws("|", "zone", "r.abbr")) if zones else F.lit(None).cast("int"))
         .withColumn("at", F.coalesce(_stated(), local - F.col("named").cast("bigint") * 1_000_000))
-        .withColumn("p", F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("utc_us"), F.lit("single").alias("reading"))).otherwise(place(local, F.col("zone"))))
     )
+    stated = F.struct(F.col("at").alias("utc_us"), F.lit("single").alias("reading"))
+    placed = with_place(joined, local, F.col("zone"), "w").withColumn("p", F.when(F.col("at").isNotNull(), stated).otherwise(F.col("w")))
     # Of several spellings of one record a stated one counts, then the one with the finest digits.
     best = F.struct((F.col("at").isNull()).alias("unstated"), (-F.pmod("p.utc_us", F.lit(60_000_000))).alias("coarse"), F.col("p.utc_us").alias("utc_us"), F.col("p.reading").alias("reading"))
     return (
