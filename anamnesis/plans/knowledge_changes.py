@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from anamnesis.functions.instants import rfc3339_seconds
 from anamnesis.operators.ordered import ordinal
 from anamnesis.operators.snapshots import changes
+from anamnesis.session import cut
 from anamnesis.sources.tables import table
 
 DAY = 86_400
@@ -43,7 +44,8 @@ def _numbered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     good = good_syncs(spark, folder)
     slim = good.select("sync_id", F.col("source_id").alias("source"), "last_sync_at")
     day = F.floor(rfc3339_seconds(F.col("last_sync_at")) / DAY)
-    return good, ordinal(slim, ["source"], day, ["last_sync_at", "sync_id"]).drop("last_sync_at")
+    # Three readers: written once, as it is slim.
+    return good, cut(ordinal(slim, ["source"], day, ["last_sync_at", "sync_id"]).drop("last_sync_at"))
 
 
 def _changed(spark: SparkSession, folder: str) -> DataFrame:
