@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anamnesis.llm.pairs import flag_pairs
 from anamnesis.llm.splitting import CHARACTER, split_oversized
 from anamnesis.sources.tables import table
 
@@ -45,7 +46,37 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def _flagged(spark: SparkSession, folder: str) -> DataFrame:
+    """Defects of each turn's last saved state; pending and blocked turns are left out."""
+    state = F.struct("updated_at", "status", "user_content", "assistant_content", "done_reason")
+    last = (
+        table(spark, folder, "turns")
+        .where("id is not null")
+        .groupBy("id")
+        .agg(F.max(state).alias("t"))
+        .where("t.status is null or t.status not in ('pending', 'blocked')")
+    )
+    return flag_pairs(
+        last.select(
+            F.col("id").alias("turn_id"),
+            F.col("t.user_content").alias("question"),
+            F.col("t.assistant_content").alias("answer"),
+            F.col("t.status").alias("status"),
+            F.col("t.done_reason").alias("reason"),
+        )
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _flagged(spark, folder).select("turn_id", F.col("defects")[0].alias("defect"))
+
+
+def p4_all_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """Every defect that a turn shows, also those behind the first."""
+    return _flagged(spark, folder).select("turn_id", F.posexplode("defects").alias("place", "defect"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_all_defects": p4_all_defects}
 ORACLES = {
     "p2_found": r"""
   with i as (select 'snapshot' item_kind, revision_id item_id, content t from knowledge_snapshots
