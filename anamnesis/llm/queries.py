@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anamnesis.llm import language
 from anamnesis.llm.pairs import flag_pairs
 from anamnesis.llm.splitting import CHARACTER, split_oversized
 from anamnesis.sources.tables import table
@@ -76,7 +77,51 @@ def p4_all_defects(spark: SparkSession, folder: str) -> DataFrame:
     return _flagged(spark, folder).select("turn_id", F.posexplode("defects").alias("place", "defect"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_all_defects": p4_all_defects}
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").where("doc_id is not null")
+    return language.segments(docs, language.fit(docs))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of a text that its label does not name. Only a text's few languages are shuffled."""
+    named = language.label_language(F.col("lang"))
+    found = _segments(spark, folder).groupBy("doc_id").agg(F.max("lang").alias("lang"), F.collect_set("lang_found").alias("found"))
+    kind = (
+        F.when(F.col("named").isNull(), "missing")
+        .when(F.array_contains("found", F.col("named")), "mixed")
+        .otherwise("wrong")
+    )
+    return (
+        found.select("doc_id", named.alias("named"), "found")
+        .select("doc_id", "named", kind.alias("case_kind"), F.explode("found").alias("lang"))
+        .where("named is null or lang <> named")
+        .select("doc_id", "lang", "case_kind")
+    )
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of one language with its offsets and confidence."""
+    return _segments(spark, folder).select("doc_id", "start_char", "end_char", F.col("lang_found").alias("lang"), F.round("confidence", 4).alias("confidence"))
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text's main language, by characters, and the share of the text's segments that it has."""
+    by = (
+        _segments(spark, folder)
+        .withColumn("n", (F.col("end_char") - F.col("start_char")).cast("long"))
+        .groupBy("doc_id", "lang_found")
+        .agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("confidence"))
+    )
+    best = F.max_by(F.struct("lang_found", "n", "confidence"), F.struct("n", "lang_found")).alias("b")
+    return by.groupBy("doc_id").agg(best, F.sum("n").alias("all")).select(
+        "doc_id",
+        F.col("b.lang_found").alias("lang"),
+        F.round("b.confidence", 4).alias("confidence"),
+        F.round(F.col("b.n") / F.col("all"), 4).alias("share"),
+    )
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_all_defects": p4_all_defects, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 ORACLES = {
     "p2_found": r"""
   with i as (select 'snapshot' item_kind, revision_id item_id, content t from knowledge_snapshots
