@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import language
+from anamnesis.llm import language, mixing, packing
 from anamnesis.llm.pairs import flag_pairs
 from anamnesis.llm.splitting import CHARACTER, split_oversized
+from anamnesis.session import cut
 from anamnesis.sources.tables import table
 
 
@@ -121,7 +123,77 @@ def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_all_defects": p4_all_defects, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = [(r[0], int(r[1])) for r in table(spark, folder, "pack_sizes").where("capacity_tokens >= 1").orderBy("container_kind").collect()]
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), "text").where("doc_id is not null")
+    return packing.pack(texts, kinds)
+
+
+def p6_assignments(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, or of every part of a text over the capacity."""
+    return _packed(spark, folder).select(
+        "container_kind", "container_id", F.col("item_id").alias("doc_id"), "part_no", "token_start", "n_tokens"
+    )
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers of each kind, and the share of their space that is used."""
+    return (
+        _packed(spark, folder)
+        .groupBy("container_kind", "capacity", "container_id")
+        .agg(F.sum("n_tokens").alias("used"))
+        .groupBy("container_kind", "capacity")
+        .agg(
+            F.count(F.lit(1)).alias("n_containers"),
+            F.sum("used").alias("n_tokens"),
+            F.max("used").alias("most_used"),
+            F.round(F.sum("used") / (F.count(F.lit(1)) * F.first("capacity")), 5).alias("fill"),
+        )
+    )
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray, list[int]]:
+    goals = table(spark, folder, "mix_targets").where("source is not null").orderBy("source").collect()  # a small table
+    classes, shares, caps = [r["source"] for r in goals], np.array([float(r["target_share"]) for r in goals]), [int(r["max_repeats"]) for r in goals]
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), "text", "source").where("doc_id is not null")
+    held = mixing.members(docs, classes, mixing.fit(docs, classes))
+    # A text without a source may be repeated as often as its likeliest source allows.
+    top = F.array_position("m", F.array_max("m")).cast("int")
+    cap = F.when(F.array_max("m") > 0, F.element_at(F.array(*[F.lit(c) for c in caps]), top)).otherwise(0)
+    taken, target = mixing.mix(cut(held.withColumn("cap", cap)), shares)
+    return taken, classes, shares, target, caps
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each text is taken; texts that are not taken are left out."""
+    taken = _mixed(spark, folder)[0].where("copies > 0")
+    return taken.select(F.col("item_id").alias("doc_id"), "source", "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every source, with the soft members' parts, and its most repeated text."""
+    taken, classes, shares, _, caps = _mixed(spark, folder)
+    name = F.array(*[F.lit(c) for c in classes])
+    by = (
+        taken.where("copies > 0")
+        .select("copies", "n_tokens", F.posexplode("m").alias("i", "p"))
+        .where("p > 0")
+        .groupBy("i")
+        .agg(F.sum(F.col("copies") * F.col("n_tokens") * F.col("p")).alias("tokens"), F.max(F.when(F.col("p") >= 0.5, F.col("copies"))).alias("most_copies"))
+    )
+    all_of = by.agg(F.sum("tokens").alias("total"))
+    at = (F.col("i") + 1).cast("int")
+    return by.join(all_of).select(
+        F.element_at(name, at).alias("source"),
+        F.element_at(F.array(*[F.lit(float(x)) for x in shares]), at).alias("target_share"),
+        F.round(F.col("tokens") / F.col("total"), 6).alias("reached_share"),
+        F.round("tokens").cast("long").alias("n_tokens"),
+        "most_copies",
+        F.element_at(F.array(*[F.lit(c) for c in caps]), at).alias("max_repeats"),
+    )
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_all_defects": p4_all_defects, "p6_assignments": p6_assignments, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 ORACLES = {
     "p2_found": r"""
   with i as (select 'snapshot' item_kind, revision_id item_id, content t from knowledge_snapshots
