@@ -44,7 +44,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """
     blocks = width(rows.sparkSession)
     held = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vector")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), "id", "vector")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "id", "vector")
 
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "row_id", "similarity"]

@@ -149,18 +149,10 @@ def edge_mutual_topk(s, d):
 
 def vec_codec(s, d):
     """Vectors to little-endian bytes and back."""
-    import pandas as pd
-
-    @F.pandas_udf("binary")
-    def encode(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: x.astype("<f4").tobytes())
-
-    @F.pandas_udf("array<float>")
-    def decode(b: pd.Series) -> pd.Series:
-        import numpy as np
-
-        return b.map(lambda x: np.frombuffer(x, "<f4"))
+    import numpy as np
 
+    encode = F.pandas_udf(lambda v: v.map(lambda x: x.astype("<f4").tobytes()), "binary")
+    decode = F.pandas_udf(lambda b: b.map(lambda x: np.frombuffer(x, "<f4")), "array<float>")
     v = _vectors(s, d).withColumn("blob", encode("vector")).withColumn("again", decode("blob"))
     return v.select("id", F.length("blob").alias("n_bytes"), (F.col("again") == F.col("vector")).alias("equal"))
 
@@ -287,7 +279,7 @@ def claims_asof(s, d):
     """Claims valid at the middle of each month of 2024, by object."""
     months = F.array(*[F.to_timestamp(F.lit(f"2024-{m:02d}-15")) for m in range(1, 13)])
     c = _claims(s, d).withColumn("at", F.explode(F.filter(months, lambda t: (F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (t < F.col("valid_to"))))))
-    return c.groupBy(F.month("at").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n_users"))
+    return c.groupBy(F.month("at").alias("month_no"), "event_type").agg(F.count(F.lit(1)).alias("n_users"))
 
 
 def claim_transitions(s, d):
@@ -360,17 +352,17 @@ ORACLES = {
     "vector_topk": f"with {V_}, x as (select a.id query_id, b.id row_id, round(list_dot_product(a.e, b.e), 6) similarity from v a join v b on a.id <> b.id where a.id % 50 = 0) select * from (select *, row_number() over (partition by query_id order by similarity desc, row_id) rank from x) where rank <= {TOP}",
     "edge_mutual_topk": f"with {V_}, x as (select a.id q, b.id r, round(list_dot_product(a.e, b.e), 6) s from v a join v b on a.id <> b.id), k as (select * from (select *, row_number() over (partition by q order by s desc, r) n from x) where n <= {NEIGHBOURS} and s >= {LEAST_COSINE}) select a.q src, a.r dst, a.s weight from k a join k b on a.q = b.r and a.r = b.q where a.q < a.r",
     "edge_shared_entity": f"with {E_} select * from se",
-    "edge_keyword": f"with {M_}, t as (select distinct event_id key, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) term from m), k as (select key, term from t join (select term from t where length(term) >= 2 group by 1 having count(*) between 2 and 32) using (term)), z as (select key, count(*) n from k group by 1), p as (select a.key src, b.key dst, count(*) n from k a join k b using (term) where a.key < b.key group by 1, 2) select src, dst, round(p.n / (x.n + y.n - p.n), 9) weight from p join z x on src = x.key join z y on dst = y.key",
+    "edge_keyword": f"with {M_}, kt as (select distinct event_id key, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) term from m), k as (select key, term from kt join (select term from kt where length(term) >= 2 group by 1 having count(*) between 2 and 32) using (term)), z as (select key, count(*) n from k group by 1), p as (select a.key src, b.key dst, count(*) n from k a join k b using (term) where a.key < b.key group by 1, 2) select src, dst, round(p.n / (x.n + y.n - p.n), 9) weight from p join z x on src = x.key join z y on dst = y.key",
     "jaccard": f"with {M_}, x as (select event_id, list_distinct(regexp_extract_all(content, '[A-Z][a-z]{{4,}}')) a, session_id, sequence from m where role = 'user'), y as (select *, lag(a) over (partition by session_id order by sequence) b from x) select event_id, case when len(a) > 0 and len(b) > 0 then round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) end distance from y",
     "graph_edges": f"with {ED_} select * from fo",
-    "graph_nodes": f"with {E_}, n as (select 'message' kind, event_id source_id from m union all select distinct 'session', session_id from m union all select distinct 'entity', term from ek) select kind, source_id, sha256(kind || chr(31) || source_id) node_id from n",
-    "graph_report": f"with {ED_}, k as (select unnest(['reply', 'adjacent', 'shared_entity', 'mutual_topk', 'conflict']) kind), n as (select kind, count(*) n, round(sum(weight), 6) w from fo group by 1) select kind, coalesce(n, 0) n_edges, coalesce(w, 0.0)::double weight from k left join n using (kind)",
-    "graph_scope": f"with {ED_}, x as (select distinct session_id, kind, src, dst from fo join m on event_id = src or event_id = dst), t as (select session_id, count(*) n_edges from x group by 1) select session_id, count(*) n_nodes, coalesce(any_value(n_edges), 0) n_edges from m left join t using (session_id) group by 1",
+    "graph_nodes": f"with {E_}, nd as (select 'message' kind, event_id source_id from m union all select distinct 'session', session_id from m union all select distinct 'entity', term from ek) select kind, source_id, sha256(kind || chr(31) || source_id) node_id from nd",
+    "graph_report": f"with {ED_}, k as (select unnest(['reply', 'adjacent', 'shared_entity', 'mutual_topk', 'conflict']) kind), nk as (select kind, count(*) n, round(sum(weight), 6) w from fo group by 1) select kind, coalesce(n, 0) n_edges, coalesce(w, 0.0)::double weight from k left join nk using (kind)",
+    "graph_scope": f"with {ED_}, x as (select distinct session_id, kind, src, dst from fo join m on event_id = src or event_id = dst), tt as (select session_id, count(*) n_edges from x group by 1) select session_id, count(*) n_nodes, coalesce(any_value(n_edges), 0) n_edges from m left join tt using (session_id) group by 1",
     "scope_entities": f"with {E_} select distinct session_id, term from en join m on key = event_id",
     "ppr": f"with {ST_} select node, round(score, 9) score from r{ROUNDS}",
     "best_path": f"with {ST_}, z as (select node seed, node target, 0 hops, mass quality from sd), o as (select seed, dst target, 1 hops, max(quality * p) quality from z join sp on target = src where dst <> seed group by 1, 2), w as (select seed, dst target, 2 hops, max(quality * p) quality from o join sp on target = src where dst <> seed group by 1, 2), a as (select seed, target, hops, round(quality, 9) quality from (select * from z union all select * from o union all select * from w)) select seed, target, hops, quality from (select *, row_number() over (partition by target order by quality desc, hops, seed) r from a) where r = 1",
     "shortest_leaf": "with c as (select distinct clause_id, event_id, start_char, end_char from source_clauses where clause_id is not null and event_id is not null and end_char > start_char), x as (select a.clause_id asked, b.clause_id leaf, row_number() over (partition by a.clause_id order by b.end_char - b.start_char, b.clause_id) k from c a join c b on a.event_id = b.event_id and b.start_char <= (a.start_char + a.end_char) // 2 and (a.start_char + a.end_char) // 2 < b.end_char) select asked, leaf from x where k = 1",
     "doc_asof": f"with {M_}, x as (select m.*, created_at from m join t on split_part(event_id, ':', 1) = t.id) select session_id, bool_and(created_at <= '{CUTOFF}') visible, count(*) n from x group by 1",
-    "claims_asof": f"with {CL_}, t as (select make_date(2024, unnest(range(1, 13))::int, 15)::timestamp at) select month(at)::int as month, event_type, count(*) n_users from c join t on valid_from <= at and (valid_to is null or at < valid_to) group by 1, 2",
+    "claims_asof": f"with {CL_}, mo as (select make_date(2024, unnest(range(1, 13))::int, 15)::timestamp as moment) select month(moment)::int as month_no, event_type, count(*) n_users from c join mo on valid_from <= moment and (valid_to is null or moment < valid_to) group by 1, 2",
     "claim_transitions": f"with {CL_} select user_id, count(*) n_created, count(valid_to) n_replaced from c group by 1",
 }
