@@ -16,7 +16,8 @@ def stream_sessions(s, d):
     """Sessions of each user's events, read as a stream."""
     path = f"{d}/events.parquet"
     schema = s.read.parquet(path).schema
-    stream = s.readStream.schema(schema).parquet(path)
+    # A pattern rather than a path: a file stream takes a single file only so.
+    stream = s.readStream.schema(schema).parquet(path[:-1] + "[t]")
     got = run_to_table(session_windows(stream, "user_id", "ts", GAP, "1 day"))
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return got.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "n_events")
