@@ -83,14 +83,17 @@ def chunked(rows: DataFrame) -> DataFrame:
 def changes(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """(source, ordinal, key, change) of every key added, removed or changed against ordinal - 1.
 
-    rows: (source, ordinal, key, content), one row per snapshot and key; rows of a null source,
-    ordinal or key are left out, a null content counts as a content of its own. spans: (source,
+    rows: (source, ordinal, key, content); rows of a null source, ordinal or key are left out, a null
+    content counts as a content of its own, and of several rows of a snapshot and key the least
+    content counts. Other columns are ignored. spans: (source,
     last_ordinal); ordinals run from 0 without gap, and a snapshot without rows is an empty one.
     The first snapshot of a source gives no changes. Empty input gives none.
     """
     o, block = F.col("ordinal"), F.floor(F.col("ordinal") / BLOCK)
-    clean = rows.where("source is not null and ordinal is not null and key is not null").select(
-        F.col("source").cast("string").alias("source"), "ordinal", F.col("key").cast("string").alias("key"), F.coalesce("content", F.lit("")).alias("content")
+    clean = (
+        rows.where("source is not null and ordinal is not null and key is not null")
+        .groupBy(F.col("source").cast("string").alias("source"), "ordinal", F.col("key").cast("string").alias("key"))
+        .agg(F.min(F.coalesce("content", F.lit(""))).alias("content"))
     )
     blocks = clean.withColumn(
         "block", F.explode(F.when(o % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block)))

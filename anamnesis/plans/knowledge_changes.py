@@ -54,8 +54,6 @@ def _changed(spark: SparkSession, folder: str) -> DataFrame:
         good.select("sync_id", F.explode("active_revisions").alias("revision_id"))
         .join(order, "sync_id")
         .join(revisions(spark, folder), "revision_id")
-        .groupBy("source", "ordinal", "key")
-        .agg(F.min("content").alias("content"))
     )
     spans = order.groupBy("source").agg(F.max("ordinal").alias("last_ordinal"))
     return changes(named, spans).join(order, ["source", "ordinal"])
