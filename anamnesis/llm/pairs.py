@@ -104,7 +104,7 @@ def _tight(text: str) -> str:
     return fold(text).replace(" ", "")
 
 
-def _near(a: str, b: str, most: int) -> bool:
+def _near(a, b, most: int) -> bool:
     """Whether b comes from a by at most so many single edits; banded."""
     if abs(len(a) - len(b)) > most:
         return False
@@ -138,13 +138,17 @@ def is_echo(question: str | None, answer: str) -> bool:
     for text in list(tries):
         if m := _FRAME.match(text):
             tries.add(text[m.end() :])
+    words_q = q.split()
     for text in tries:
+        words = text.split()
+        if len(words_q) >= 4 and abs(len(words) - len(words_q)) <= 1 and _near(words, words_q, 1):
+            return True  # one word left out, added or replaced
         tight = text.replace(" ", "")
         # Given back several times.
         for form in forms:
             if len(form) >= 4 and len(tight) > len(form) and len(tight) % len(form) == 0 and tight == form * (len(tight) // len(form)):
                 return True
-            if len(form) >= 4 and (tight == form or _near(tight, form, max(1, len(form) // 12) if len(form) >= 8 else 0)):
+            if len(form) >= 4 and (tight == form or _near(tight, form, max(2, len(form) // 10) if len(form) >= 8 else 0)):
                 return True
     return False
 
