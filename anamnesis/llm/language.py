@@ -153,7 +153,8 @@ def fit(docs: DataFrame) -> ByteCNN:
     ids = labelled.select("doc_id", "label").withColumn("_h", F.xxhash64("doc_id"))
     w = Window.partitionBy("label").orderBy("_h", "doc_id")
     picked = ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TEXTS_PER_LABEL).select("doc_id")
-    rows = labelled.join(picked, "doc_id", "left_semi").select("text", "label").mapInPandas(_sampled, "sentence string, label string")
+    # At most TEXTS_PER_LABEL ids of each language: small enough to broadcast, so no text is shuffled.
+    rows = labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "label").mapInPandas(_sampled, "sentence string, label string")
     return train([(r[0], r[1]) for r in rows.collect()])
 
 

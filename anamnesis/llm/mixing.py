@@ -80,7 +80,8 @@ def fit(texts: DataFrame, classes: Sequence[str]) -> np.ndarray:
     labelled = texts.where(F.col("source").isin(list(classes)) & (F.char_length("text") > 0))
     w = Window.partitionBy("source").orderBy(F.xxhash64("item_id"), "item_id")
     ids = labelled.select("item_id", "source").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TEXTS_PER_SOURCE)
-    rows = labelled.join(ids.select("item_id"), "item_id", "left_semi").select("text", "source").collect()
+    # At most TEXTS_PER_SOURCE ids of each class: small enough to broadcast, so no text is shuffled.
+    rows = labelled.join(F.broadcast(ids.select("item_id")), "item_id", "left_semi").select("text", "source").collect()
     return train([(r[0], r[1]) for r in rows], classes)
 
 
