@@ -65,8 +65,9 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)|<(code|pre)>.*?(?:</\1>|\Z)", re.S)
 _LINE = re.compile(r"[^\n\r]+")
 _LEAD = re.compile(r"\s*(?:[>#*\-+•|]+\s*|\(?\d{1,3}[.)、]\s+|\[[ xX]\]\s*)*(?:[\w .’'-]{1,24}(?:: |：\s*))?")
 _SENTENCE = re.compile(r".*?(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？!?]+[」』”’）)]*|$)", re.S)
+#: Words in brackets or quotes, if no sentence ends in them, addresses, identifiers and numbers.
 _ASIDE = re.compile(
-    r"[(（\[【][^()（）\[\]【】]{0,120}[)）\]】]|[\"“«「『‘][^\"”»」』’]{1,80}[\"”»」』’]|`[^`]*`|https?://\S+|\S+@\S+"
+    r"[(（\[【][^()（）\[\]【】.!?。！？]{0,120}[)）\]】]|[\"“«「『‘][^\"”»」』’.!?。！？]{1,80}[\"”»」』’]|`[^`]*`|https?://\S+|\S+@\S+"
     r"|[A-Za-z0-9$%./\\_-]*[A-Za-z0-9$%][_=./\\:][A-Za-z0-9$%][A-Za-z0-9$%_=./\\:-]*|(?<![A-Za-z0-9])[A-Za-z]*\d[A-Za-z0-9]*"
 )
 _WORD = re.compile(r"[^\W\d_]+")
