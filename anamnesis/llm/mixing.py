@@ -102,18 +102,16 @@ def members(texts: DataFrame, classes: Sequence[str], weights: np.ndarray, ranks
                     m.append(_posterior(features(text)[None], weights)[0].astype(float).tolist())
                 else:
                     m.append([1.0 if at.get(source) == i else 0.0 for i in range(len(classes))])
-            yield pd.DataFrame({"item_id": b["item_id"], "source": b["source"], "n_tokens": sizes, "m": m})
+            yield pd.DataFrame({"text_key": b["text_key"], "item_id": b["item_id"], "source": b["source"], "n_tokens": sizes, "m": m})
 
-    first = (
+    # Sized where they are read: what is shuffled to fold equal texts is their hash, never a text.
+    sized = (
         texts.where(F.char_length("text") > 0)
-        .groupBy(F.sha2("text", 256).alias("text_key"))
-        .agg(F.min(F.struct(F.col("source").isNull().alias("no"), "item_id")).alias("f"))
-        .select("f.item_id")
+        .select("item_id", "source", "text", F.sha2("text", 256).alias("text_key"))
+        .mapInPandas(rows, "text_key string, item_id long, source string, n_tokens long, m array<double>")
     )
-    kept = texts.where(F.char_length("text") > 0).join(first, "item_id", "left_semi")
-    return kept.select("item_id", "source", "text").mapInPandas(
-        rows, "item_id long, source string, n_tokens long, m array<double>"
-    ).where("n_tokens > 0")
+    first = F.min(F.struct(F.col("source").isNull().alias("no"), "item_id", "source", "n_tokens", "m")).alias("f")
+    return sized.groupBy("text_key").agg(first).select("f.item_id", "f.source", "f.n_tokens", "f.m").where("n_tokens > 0")
 
 
 def _dot(m: Column, v: Column) -> Column:
