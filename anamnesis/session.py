@@ -38,3 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Number of partitions for an explicit range or hash partitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by a key where a scan has fewer partitions than there are cores.
+
+    For work that costs far more per row than moving the row does. A large table has enough
+    partitions and is left as it is; the rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
