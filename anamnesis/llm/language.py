@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.llm.byte_cnn import LENGTH, ByteCNN, windows
+from anamnesis.session import spread
 
 LANGUAGES = ("de", "en", "es", "fr", "ja", "nl", "pt", "zh")
 #: Codes and names of the languages, folded to lower case without accents. Fixed values.
@@ -242,4 +243,4 @@ def segments(docs: DataFrame, net: ByteCNN) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out, columns=names)
 
-    return docs.select("doc_id", "text", "lang").where(F.char_length("text") > 0).mapInPandas(rows, SEGMENT)
+    return spread(docs.select("doc_id", "text", "lang").where(F.char_length("text") > 0), "doc_id").mapInPandas(rows, SEGMENT)

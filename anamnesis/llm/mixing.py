@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.llm.tokens import RANKS, count
-from anamnesis.session import cut
+from anamnesis.session import cut, spread
 
 #: Bound of the classifier's training sample.
 TEXTS_PER_SOURCE = 250
@@ -106,7 +106,7 @@ def members(texts: DataFrame, classes: Sequence[str], weights: np.ndarray, ranks
 
     # Sized where they are read: what is shuffled to fold equal texts is their hash, never a text.
     sized = (
-        texts.where(F.char_length("text") > 0)
+        spread(texts.where(F.char_length("text") > 0), "item_id")
         .select("item_id", "source", "text", F.sha2("text", 256).alias("text_key"))
         .mapInPandas(rows, "text_key string, item_id long, source string, n_tokens long, m array<double>")
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.tokens import RANKS, count
-from anamnesis.session import cut
+from anamnesis.session import cut, spread
 
 OPEN = 128
 #: Most open windows that one task merges.
@@ -111,7 +111,7 @@ def pack(texts: DataFrame, kinds: Sequence[tuple[str, int]], ranks: str = RANKS,
     texts: (item_id, text). A null or empty text has no tokens and is placed nowhere; repeated ids
     are placed each time. kinds: (name, capacity in tokens), a small list. No kinds or no texts give no rows.
     """
-    placed = cut(texts.select("item_id", "text").mapInPandas(_place(list(kinds), ranks, most_open), PLACED))
+    placed = cut(spread(texts.select("item_id", "text"), "item_id").mapInPandas(_place(list(kinds), ranks, most_open), PLACED))
     left = (
         placed.where("is_open")
         .groupBy("container_kind", "capacity", F.col("container_id").alias("id"))
