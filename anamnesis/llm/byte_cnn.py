@@ -14,7 +14,7 @@ import numpy as np
 LENGTH = 64
 DIM = 8
 WIDTHS = (3, 4, 5)
-FILTERS = 40
+FILTERS = 32
 
 
 def windows(texts: list[bytes], stride: int) -> tuple[np.ndarray, np.ndarray]:

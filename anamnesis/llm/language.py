@@ -41,9 +41,9 @@ NOTATIONS = {
 NO_LANGUAGE = "und mul mis zxx xx xxx unknown unk none null na n/a ? - -- other auto multiple mixed undefined undetermined"
 
 #: Bounds of the training sample: texts per label and sentences per text.
-TEXTS_PER_LABEL = 300
-SENTENCES_PER_TEXT = 10
-STEPS = (300, 700)
+TEXTS_PER_LABEL = 250
+SENTENCES_PER_TEXT = 8
+STEPS = (250, 700)
 #: Least confidence of a sentence, and of one whose language no other sentence of the text has.
 LEAST, LEAST_ALONE = 0.6, 0.9
 #: Bytes of a sentence beyond which its windows are looked at one by one.
@@ -156,7 +156,9 @@ def fit(docs: DataFrame) -> ByteCNN:
     w = Window.partitionBy("label").orderBy("_h", "doc_id")
     picked = ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TEXTS_PER_LABEL).select("doc_id")
     # At most TEXTS_PER_LABEL ids of each language: small enough to broadcast, so no text is shuffled.
-    rows = labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "label").mapInPandas(_sampled, "sentence string, label string")
+    chosen = labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text", "label")
+    chosen = chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    rows = chosen.mapInPandas(_sampled, "sentence string, label string")
     return train([(r[0], r[1]) for r in rows.collect()])
 
 
