@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import tokens
+from anamnesis.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -29,13 +30,21 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def sizes(texts: DataFrame, text: str) -> DataFrame:
+    """One row (n, mean_length) over the texts that have tokens."""
+    n = F.size(tokens(F.col(text)))
+    return texts.where(F.col(text).isNotNull()).select(n.alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+
+
 def bm25(posted: DataFrame, n_texts: DataFrame, queries: DataFrame, key: str, k: int, max_share: float) -> DataFrame:
     """(query_id, key, score, rank): the k best texts of every query.
 
     n_texts: one row (n, mean_length). queries: (query_id, term), distinct. A null or empty query
     has no terms and no result. Ties go to the smaller key.
     """
-    terms = document_frequency(posted.join(queries.select("term").distinct(), "term", "left_semi"))
+    # Only the queries' terms go on; they are read twice and so written once.
+    posted = cut(posted.join(queries.select("term").distinct(), "term", "left_semi"))
+    terms = document_frequency(posted)
     kept = terms.join(F.broadcast(n_texts)).where(F.col("df") <= F.greatest(F.lit(1.0), F.col("n") * max_share))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))

@@ -9,7 +9,7 @@ from anamnesis.functions.text import tokens
 from anamnesis.operators import graph, lexical, turns, vectors
 from anamnesis.operators.ordered import neighbours
 from anamnesis.plans.conversation import M_
-from anamnesis.session import cut
+from anamnesis.session import cut, spread
 from anamnesis.sources.tables import table
 
 TOP, MAX_SHARE, NEIGHBOURS, LEAST_COSINE = 10, 0.1, 5, 0.30
@@ -29,20 +29,15 @@ def _terms(q: DataFrame) -> DataFrame:
     return q.select("query_id", F.explode(F.array_distinct(tokens(F.col("q")))).alias("term"))
 
 
-def _size(posted: DataFrame, key: str) -> DataFrame:
-    one = posted.groupBy(key).agg(F.first("length").alias("length"))
-    return one.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-
-
 def term_df(s, d):
     """A2: texts per term."""
-    return lexical.document_frequency(lexical.postings(_documents(s, d), "doc_id", "text"))
+    return lexical.document_frequency(lexical.postings(spread(_documents(s, d), "doc_id"), "doc_id", "text"))
 
 
 def kb_bm25(s, d):
     """The best documents of every evaluation question."""
-    posted = lexical.postings(_documents(s, d), "doc_id", "text")
-    return lexical.bm25(posted, _size(posted, "doc_id"), _terms(_questions(s, d)), "doc_id", TOP, MAX_SHARE)
+    posted = lexical.postings(spread(_documents(s, d), "doc_id"), "doc_id", "text")
+    return lexical.bm25(posted, lexical.sizes(_documents(s, d), "text"), _terms(_questions(s, d)), "doc_id", TOP, MAX_SHARE)
 
 
 def _user_messages(s, d):
@@ -52,7 +47,7 @@ def _user_messages(s, d):
 def conv_bm25(s, d):
     """The best user messages of every evaluation question."""
     posted = lexical.postings(_user_messages(s, d), "event_id", "content")
-    return lexical.bm25(posted, _size(posted, "event_id"), _terms(_questions(s, d)), "event_id", TOP, MAX_SHARE)
+    return lexical.bm25(posted, lexical.sizes(_user_messages(s, d), "content"), _terms(_questions(s, d)), "event_id", TOP, MAX_SHARE)
 
 
 def _titles(s, d):
