@@ -89,7 +89,8 @@ def members(texts: DataFrame, classes: Sequence[str], weights: np.ndarray, ranks
     """(item_id, source, n_tokens, m) of every distinct text that has tokens.
 
     m is the membership over the classes, of one sum or less: a text of an unlisted source has none.
-    Of equal texts the one with a source, then with the least id, stands for all.
+    Of equal texts the one with a source, then with the least id, stands for all. Null and empty
+    texts are left out; other columns are ignored; empty input gives no rows.
     """
     at = {c: i for i, c in enumerate(classes)}
 
@@ -169,6 +170,10 @@ def _uniform(seed: int) -> Column:
 def mix(held: DataFrame, shares: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """Add rate and copies, whole numbers from 0 to cap; and the target totals.
 
+    Texts without membership get none. Where a wanted source has no texts at all, nothing can be
+    mixed to the targets and every text gets 0 copies. Empty input gives an empty mix; repeated rows
+    are rows of their own.
+
     Each repair moves texts of a source that are no larger than an eighth of what it lacks or
     has too much, drawn so that the expected move is just that.
     """

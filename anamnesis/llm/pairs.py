@@ -265,7 +265,8 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def flag_pairs(pairs: DataFrame) -> DataFrame:
     """(turn_id, defects): the pairs with at least one defect.
 
-    pairs: (turn_id, question, answer, status, reason), any of them null; repeated rows give
-    repeated results. Empty input gives none.
+    pairs: (turn_id, question, answer, status, reason), any of them null: a null answer is an empty
+    one, a null question has no language and nothing to give back. Repeated rows give repeated
+    results, other columns are ignored, texts of any length are judged whole. Empty input gives none.
     """
     return pairs.select("turn_id", "question", "answer", "status", "reason").mapInPandas(_rows, SCHEMA)
