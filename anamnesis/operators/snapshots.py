@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anamnesis.session import width
+from anamnesis.session import cut, width
 
 MEAN_CHUNK = 64
 LARGEST = 2048
@@ -99,7 +99,8 @@ def changes(rows: DataFrame, spans: DataFrame) -> DataFrame:
         "block", F.explode(F.when(o % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block)))
     )
     w = Window.partitionBy("source", "block", "label", "digest").orderBy("ordinal")
-    met = (
+    # Both sides of the join read it: the few rows of unmatched chunks are written once.
+    met = cut(
         chunked(blocks)
         .withColumn("old", F.coalesce(F.lag("ordinal").over(w) == o - 1, F.lit(False)))
         .withColumn("kept", F.coalesce(F.lead("ordinal").over(w) == o + 1, F.lit(False)))
