@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
+#: The reference's six ranges of characters that are written without blanks between words.
+CJK = r"\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af"
+_WORD, _CHAR = rf"[\p{{L}}\p{{N}}&&[^{CJK}]]+", rf"[\p{{L}}\p{{N}}&&[{CJK}]]"
 #: Marks that end a clause, and clauses that assert nothing.
 ENDS = r"[.。!！?？;；\r\n]"
 GREETINGS = ("hi", "hello", "hey", "thanks", "thank you", "ok", "okay", "你好", "谢谢", "好的", "hallo", "danke", "hola", "gracias", "bonjour", "merci", "olá", "obrigado", "こんにちは", "ありがとう")
@@ -13,7 +15,18 @@ WINDOW, STEP = 240, 200
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Words, and the 2- and 3-grams of each CJK run; a run of one character is a token. Repeats are kept, null gives null.
+
+    Grams are found by lookahead, one scan for each length, so that a text that is one long run costs no more than another.
+    """
+    found = lambda pattern, group: F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group))
+    single = rf"(?<!{_CHAR}){_CHAR}(?!{_CHAR})"
+    return F.concat(found(rf"{_WORD}|{single}", 0), found(rf"(?=({_CHAR}{{2}}))", 1), found(rf"(?=({_CHAR}{{3}}))", 1))
+
+
+def mixed_tokens(text: Column) -> Column:
+    """The reference's tokens of answers: words, and each CJK character for itself."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]|{_WORD}"), F.lit(0))
 
 
 def normal_answer(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.instants import rfc3339
-from anamnesis.functions.text import normal_answer, tokens
+from anamnesis.functions.text import mixed_tokens, normal_answer
 from anamnesis.operators.ordered import neighbours
 from anamnesis.sources.tables import table
 
@@ -31,10 +31,10 @@ def _cases(s: SparkSession, d: str) -> DataFrame:
 
 def _ranking(s, d) -> DataFrame:
     """Messages of a case's own sessions by the tokens that they share with its question."""
-    c = _cases(s, d).select("id", F.array_distinct(tokens(F.col("question"))).alias("q"), F.explode("sessions").alias("s"))
+    c = _cases(s, d).select("id", F.array_distinct(mixed_tokens(F.col("question"))).alias("q"), F.explode("sessions").alias("s"))
     m = c.select("id", "q", F.explode("s.messages").alias("m")).select("id", "q", F.col("m.evidence.external_id").alias("evidence"), F.col("m.content").alias("content"))
     m = m.where("evidence is not null").groupBy("id", "evidence").agg(F.min("q").alias("q"), F.min("content").alias("content"))
-    t = F.array_distinct(tokens(F.col("content")))
+    t = F.array_distinct(mixed_tokens(F.col("content")))
     score = F.round(F.size(F.array_intersect("q", t)) / F.greatest(F.lit(1), F.size(F.array_union("q", t))), 9)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "evidence")  # a case is one row of the input
     return m.select("id", "evidence", "content", score.alias("score")).withColumn("rank", F.row_number().over(w))
@@ -63,10 +63,10 @@ def mrr(s, d):
 
 def _f1(s, d) -> DataFrame:
     """The expected answer against the first ranked message, as multisets of tokens."""
-    words = lambda c: F.split(normal_answer(c), " ")
+    words = lambda c: mixed_tokens(normal_answer(c))
     first = _ranking(s, d).where("rank = 1").select("id", "content")
     both = _cases(s, d).where("expected_answer is not null").select("id", "expected_answer").join(first, "id")
-    side = lambda c, name: both.select("id", F.explode(words(F.col(c))).alias("w")).where("w <> ''").groupBy("id", "w").agg(F.count(F.lit(1)).alias(name))
+    side = lambda c, name: both.select("id", F.explode(words(F.col(c))).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias(name))
     j = side("expected_answer", "a").join(side("content", "b"), ["id", "w"], "full_outer")
     t = j.groupBy("id").agg(F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("n"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
     return t.select("id", F.round(F.when((F.col("a") > 0) & (F.col("b") > 0), 2 * F.col("n") / (F.col("a") + F.col("b"))).otherwise(0.0), 9).alias("f1"))
