@@ -1,19 +1,25 @@
 """Postings, document frequency, BM25 and rank fusion as joins and aggregations.
 
-BM25 is Okapi's with k1 = 1.2, b = 0.75 and idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Terms that more
-than max_share of all texts hold are left out of queries: they tell texts apart least and would meet
-every text. Scores are rounded to six digits, so that the order of summing can't change a rank.
+BM25 is Okapi's with k1 = 1.2, b = 0.75 and idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Every term of a
+query counts, however frequent. Scores are rounded to six digits, so that the order of summing can't
+change a rank.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import tokens
-from anamnesis.session import cut
+from anamnesis.session import cut, width
 
 K1, B = 1.2, 0.75
+#: Most queries and texts, about, that a task of BM25 holds at once.
+QUERY_BLOCK, TEXT_BLOCK = 2048, 4096
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,27 +42,59 @@ def sizes(texts: DataFrame, text: str) -> DataFrame:
     return texts.where(F.col(text).isNotNull()).select(n.alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
 
 
-def bm25(posted: DataFrame, n_texts: DataFrame, queries: DataFrame, key: str, k: int, max_share: float) -> DataFrame:
-    """(query_id, key, score, rank): the k best texts of every query.
+def bm25(posted: DataFrame, n_texts: DataFrame, queries: DataFrame, key: str, k: int, max_share: float = 1.0) -> DataFrame:
+    """(query_id, key, score, rank): the k best texts of every query, over every term of it.
 
     n_texts: one row (n, mean_length). queries: (query_id, term), distinct. A null or empty query
-    has no terms and no result. Ties go to the smaller key.
+    has no terms and no result. Ties go to the smaller key. Below 1, max_share leaves out terms that
+    more than this share of the texts hold; no query asks for that.
+
+    A frequent term meets every query that has it, so pairs are never shuffled: queries and texts are
+    dealt out to blocks, each pair of blocks adds up its scores and gives out its k best per query.
     """
     # Only the queries' terms go on; they are read twice and so written once.
     posted = cut(posted.join(queries.select("term").distinct(), "term", "left_semi"))
-    terms = document_frequency(posted)
-    kept = terms.join(F.broadcast(n_texts)).where(F.col("df") <= F.greatest(F.lit(1.0), F.col("n") * max_share))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = (
-        posted.join(kept.select("term", weight.alias("idf"), "mean_length"), "term")
-        .select("term", key, part.alias("part"))
-        .join(queries, "term")
-        .groupBy("query_id", key)
-        .agg(F.round(F.sum("part"), 6).alias("score"))
+    size = n_texts.first()
+    query_blocks = math.ceil(queries.agg(F.countDistinct("query_id")).first()[0] / QUERY_BLOCK) or 1
+    text_blocks = max(width(posted.sparkSession), math.ceil(size["n"] / TEXT_BLOCK))
+    weight = F.log(1 + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = document_frequency(posted).where(F.col("df") <= max(1.0, size["n"] * max_share)).select("term", weight.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (size["mean_length"] or 1.0)))
+    asked = queries.select("query_id", "term", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("_q"))
+    dealt = asked.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(text_blocks - 1).cast("long"))))
+    held = (
+        posted.join(idf, "term")
+        .join(asked.select("term", F.col("_q").alias("_qp")).distinct(), "term")
+        .select("_qp", F.pmod(F.xxhash64(key), F.lit(text_blocks)).alias("_tp"), key, "term", part.alias("part"))
     )
+    kinds = dict(queries.dtypes)["query_id"], dict(posted.dtypes)[key]
+
+    def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        code, terms = pd.factorize(p["term"])
+        text, keys = pd.factorize(p[key], sort=True)
+        order = np.argsort(code, kind="stable")
+        text, part, start = text[order], p["part"].to_numpy()[order], np.searchsorted(code[order], np.arange(len(terms) + 1))
+        q = q.assign(code=pd.Index(terms).get_indexer(q["term"]) if len(terms) else -1)
+        ids, at, scores = [], [], []
+        for query, codes in q[q["code"] >= 0].groupby("query_id")["code"]:
+            spans = [slice(start[c], start[c + 1]) for c in codes]
+            s = np.bincount(np.concatenate([text[x] for x in spans]), np.concatenate([part[x] for x in spans]), len(keys))
+            hit = np.flatnonzero(s)
+            s = np.round(s[hit], 6)
+            if len(hit) > k:  # ties of the last place stay until they are in order
+                near = s >= np.partition(s, len(s) - k)[len(s) - k]
+                hit, s = hit[near], s[near]
+            take = np.lexsort((hit, -s))[:k]
+            ids += [query] * len(take)
+            at.append(hit[take])
+            scores.append(s[take])
+        if not ids:
+            return pd.DataFrame({"query_id": q["query_id"][:0], key: p[key][:0], "score": pd.Series(dtype="float64")})
+        return pd.DataFrame({"query_id": ids, key: keys[np.concatenate(at)], "score": np.concatenate(scores)})
+
+    got = dealt.groupBy("_q", "_t").cogroup(held.groupBy("_qp", "_tp")).applyInPandas(best, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(ranked: DataFrame, key: str, k: int, constant: int = 60) -> DataFrame:

@@ -13,6 +13,7 @@ from anamnesis.session import cut, spread
 from anamnesis.sources.tables import table
 
 TOP, MAX_SHARE, NEIGHBOURS, LEAST_COSINE = 10, 0.1, 5, 0.30
+#: MAX_SHARE only bounds the stored SQL of BM25; the queries score every term.
 ROUNDS = 4
 CUTOFF = "2024-09-01"
 
@@ -37,7 +38,7 @@ def term_df(s, d):
 def kb_bm25(s, d):
     """The best documents of every evaluation question."""
     posted = lexical.postings(spread(_documents(s, d), "doc_id"), "doc_id", "text")
-    return lexical.bm25(posted, lexical.sizes(_documents(s, d), "text"), _terms(_questions(s, d)), "doc_id", TOP, MAX_SHARE)
+    return lexical.bm25(posted, lexical.sizes(_documents(s, d), "text"), _terms(_questions(s, d)), "doc_id", TOP)
 
 
 def _user_messages(s, d):
@@ -47,7 +48,7 @@ def _user_messages(s, d):
 def conv_bm25(s, d):
     """The best user messages of every evaluation question."""
     posted = lexical.postings(_user_messages(s, d), "event_id", "content")
-    return lexical.bm25(posted, lexical.sizes(_user_messages(s, d), "content"), _terms(_questions(s, d)), "event_id", TOP, MAX_SHARE)
+    return lexical.bm25(posted, lexical.sizes(_user_messages(s, d), "content"), _terms(_questions(s, d)), "event_id", TOP)
 
 
 def _titles(s, d):

@@ -1,12 +1,18 @@
 """Whole results against plain Python, where the stored SQL has the cut that a query once had."""
 
+import math
+import os
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from anamnesis.functions import text as T
 from anamnesis.operators import lexical
 
+FOLDER = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 CJK = "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 
 
@@ -30,3 +36,31 @@ def test_cjk_question_meets_a_text_that_shares_a_part(spark):
     texts = spark.createDataFrame([(1, "昨日の会議は長かった。"), (2, "天気がよい。")], "id long, t string")
     q = spark.createDataFrame([("q", "会議はいつですか")], "query_id string, q string").select("query_id", F.explode(F.array_distinct(T.tokens(F.col("q")))).alias("term"))
     assert [r.id for r in lexical.bm25(lexical.postings(texts, "id", "t"), lexical.sizes(texts, "t"), q, "id", 5, 1.0).collect()] == [1]
+
+
+@needs_data
+def test_bm25_scores_every_term(spark):
+    from anamnesis.plans import recall
+
+    texts = {r.doc_id: Counter(plain_tokens(r.text)) for r in recall._documents(spark, FOLDER).where("text is not null").distinct().collect()}
+    texts = {i: c for i, c in texts.items() if c}
+    n, df = len(texts), Counter(t for c in texts.values() for t in c)
+    mean = sum(c.total() for c in texts.values()) / n
+    want = set()
+    for q in recall._questions(spark, FOLDER).collect():
+        terms = set(plain_tokens(q.q))
+        idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in terms}
+        s = {i: round(sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for t in terms if c[t]), 6) for i, c in texts.items() if terms & c.keys()}
+        want |= {(q.query_id, i, k + 1) for k, i in enumerate(sorted(s, key=lambda i: (-s[i], i))[: recall.TOP])}
+    got = {(r.query_id, r.doc_id, r["rank"]) for r in recall.kb_bm25(spark, FOLDER).collect()}
+    assert got == want
+
+
+def test_bm25_in_many_blocks(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "common " + "x " * (i % 7) + ("rare" if i == 50 else "")) for i in range(90)], "id long, t string")
+    q = spark.createDataFrame([(f"q{i}", t) for i in range(9) for t in ("common", "rare")], "query_id string, term string")
+    run = lambda: {tuple(r) for r in lexical.bm25(lexical.postings(texts, "id", "t"), lexical.sizes(texts, "t"), q, "id", 4).collect()}
+    one = run()
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(lexical, "TEXT_BLOCK", 5)
+    assert run() == one and len(one) == 36 and {r[1] for r in one if r[3] == 1} == {50}
