@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from anamnesis.functions.text import tokens
 from anamnesis.operators import graph, lexical, turns, vectors
-from anamnesis.operators.ordered import neighbours
+from anamnesis.operators.ordered import neighbours, ordinal
+from anamnesis.operators.sessions import cut_tree
 from anamnesis.plans.conversation import M_
 from anamnesis.session import cut, spread
 from anamnesis.sources.tables import table
@@ -15,6 +16,7 @@ from anamnesis.sources.tables import table
 TOP, MAX_SHARE, NEIGHBOURS, LEAST_COSINE = 10, 0.1, 5, 0.30
 #: MAX_SHARE only bounds the stored SQL of BM25; the queries score every term.
 ROUNDS = 4
+KINDS = ("reply", "adjacent", "shared_entity", "keyword", "mutual_topk", "episode_member", "replacement")
 CUTOFF = "2024-09-01"
 
 
@@ -181,11 +183,42 @@ def jaccard(s, d):
     return n.select("event_id", F.round(j, 9).alias("distance"))
 
 
-def _edges(s, d) -> DataFrame:
+def _named(df: DataFrame, kind: str) -> DataFrame:
+    return df.select(F.lit(kind).alias("kind"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+
+
+def _message_edges(s, d) -> DataFrame:
+    """Edges between messages: what PageRank and paths from messages can reach."""
     from anamnesis.plans import conversation as C
 
-    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "src", "dst", F.col("weight").cast("double").alias("weight"))
-    return named(C.edge_reply(s, d), "reply").unionByName(named(C.edge_adjacent(s, d), "adjacent")).unionByName(named(edge_shared_entity(s, d), "shared_entity"))
+    edges = _named(C.edge_reply(s, d), "reply").unionByName(_named(C.edge_adjacent(s, d), "adjacent"))
+    return edges.unionByName(_named(edge_shared_entity(s, d), "shared_entity")).unionByName(_named(edge_keyword(s, d), "keyword"))
+
+
+def _episode_members(s, d) -> DataFrame:
+    """Each episode, named after its first event, and each of its events, found by their places in the session."""
+    from anamnesis.plans import episodes as E
+
+    e = E.readable_events(s, d).select("session_id", "event_id", F.col("instant.sec").alias("sec"), F.col("instant.nano").alias("nano"), "sequence")
+    place = ordinal(e, ["session_id"], F.floor(F.col("sec") / 86400), ["sec", "nano", "sequence", "event_id"], "place").select("session_id", "event_id", "place")
+    first = cut_tree(E.episode_nodes(s, d), F.col("limit_s")).select(F.col("first_event").alias("event_id"), "n_events").join(place, "event_id")
+    held = first.select("session_id", F.concat(F.lit("episode:"), "event_id").alias("src"), F.explode(F.sequence("place", F.col("place") + F.col("n_events") - 1)).alias("place"))
+    return held.join(place, ["session_id", "place"]).select("src", F.col("event_id").alias("dst"), F.lit(1.0).alias("weight"))
+
+
+def _replacements(s, d) -> DataFrame:
+    """Each claim and the one that replaced it."""
+    n = neighbours(_claims(s, d), ["user_id"], F.unix_date(F.to_date("valid_from")), ["valid_from", "event_id"], F.col("event_id"))
+    claim = lambda c: F.concat(F.lit("claim:"), F.col(c).cast("string"))
+    return n.where("value_after is not null").select(claim("event_id").alias("src"), claim("value_after").alias("dst"), F.lit(1.0).alias("weight"))
+
+
+def _edges(s, d) -> DataFrame:
+    """All kinds that the tables give. Vectors, episodes and claims have ids of their own, so no path joins them to messages."""
+    vector = lambda c: F.concat(F.lit("vec:"), F.col(c).cast("string")).alias(c)
+    alike = edge_mutual_topk(s, d).select(vector("src"), vector("dst"), "weight")
+    edges = _message_edges(s, d).unionByName(_named(alike, "mutual_topk")).unionByName(_named(_episode_members(s, d), "episode_member"))
+    return edges.unionByName(_named(_replacements(s, d), "replacement"))
 
 
 def graph_edges(s, d):
@@ -207,16 +240,16 @@ def graph_nodes(s, d):
 
 
 def graph_report(s, d):
-    """Edges of every kind, also of those that have none."""
-    kinds = s.range(1).select(F.explode(F.array(*[F.lit(k) for k in ("reply", "adjacent", "shared_entity", "mutual_topk", "conflict")])).alias("kind"))
+    """Edges of every kind that is computed, also of those that have none."""
+    kinds = s.range(1).select(F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"))
     n = graph_edges(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
     return kinds.join(n, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n_edges"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def graph_scope(s, d):
-    """A10: nodes of each session and edges that touch them."""
+    """A10: message nodes of each session and edges that touch them."""
     m = turns.messages(table(s, d, "turns")).select("event_id", "session_id")
-    e = graph_edges(s, d)
+    e = graph.folded(_message_edges(s, d))
     ends = e.select("kind", "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("event_id"))
     touched = ends.join(m, "event_id").select("session_id", "kind", "src", "dst").distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("n_edges"))
     return m.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_nodes")).join(touched, "session_id", "left").select("session_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
@@ -230,7 +263,7 @@ def scope_entities(s, d):
 
 
 def _steps_and_seeds(s, d):
-    steps = cut(graph.transitions(_edges(s, d)))
+    steps = cut(graph.transitions(_message_edges(s, d)))
     first = turns.messages(table(s, d, "turns")).where("sequence = 1").select(F.col("event_id").alias("node"))
     n = first.agg(F.count(F.lit(1)).alias("n"))
     return steps, cut(first.join(F.broadcast(n)).select("node", (1 / F.col("n")).alias("mass")))

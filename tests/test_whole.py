@@ -64,3 +64,19 @@ def test_bm25_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
     monkeypatch.setattr(lexical, "TEXT_BLOCK", 5)
     assert run() == one and len(one) == 36 and {r[1] for r in one if r[3] == 1} == {50}
+
+
+@needs_data
+def test_graph_has_every_kind_that_the_tables_give(spark):
+    from anamnesis.plans import episodes, recall
+
+    edges = recall.graph_edges(spark, FOLDER).collect()
+    n = Counter(r.kind for r in edges)
+    assert {r.kind: r.n_edges for r in recall.graph_report(spark, FOLDER).collect()} == {k: n[k] for k in recall.KINDS}
+    assert n["keyword"] == recall.edge_keyword(spark, FOLDER).count() and n["mutual_topk"] == recall.edge_mutual_topk(spark, FOLDER).count()
+    assert n["replacement"] == recall.claim_transitions(spark, FOLDER).agg(F.sum("n_replaced")).first()[0]
+    sizes = {r.start_event_id: r.n_events for r in episodes.p5_sessions(spark, FOLDER).collect()}
+    ends = [r.src if r.src.startswith("episode:") else r.dst for r in edges if r.kind == "episode_member"]
+    assert Counter(e.removeprefix("episode:") for e in ends) == sizes
+    reached = {r.node for r in recall.ppr(spark, FOLDER).collect()}
+    assert {e for r in edges if r.kind == "keyword" and {r.src, r.dst} & reached for e in (r.src, r.dst)} <= reached
