@@ -9,6 +9,8 @@ from anamnesis.session import cut
 
 #: Fixed values of the reference: texts that a shared term may have, and PageRank's restart.
 LEAST_DF, MOST_DF, RESTART = 2, 32, 0.5
+#: The reference's end of PageRank: the summed change that is small enough, and the most rounds.
+TOLERANCE, MOST_ROUNDS = 1e-6, 50
 
 
 def shared(posted: DataFrame) -> DataFrame:
@@ -48,23 +50,24 @@ def transitions(edges: DataFrame) -> DataFrame:
     return w.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
 
 
-def pagerank(steps: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """(node, score) after so many rounds from seeds (node, mass), whose masses add up to one.
+def pagerank(steps: DataFrame, seeds: DataFrame, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(node, score) of the nodes that seeds (node, mass) reach; the masses add up to one, and so do the scores.
 
-    Every node of steps has a way out, so no mass is lost but that of seeds without edges, which
-    stays with the seeds. A round is one join and one aggregation; every third one is written to the
-    checkpoint folder, which also survives the loss of an executor.
+    It ends when the scores' summed change is at most tolerance, or after so many rounds. What nodes
+    without edges hold, which can only be seeds, goes back to the seeds. A round is two joins and one
+    aggregation, written to the checkpoint folder, which also survives the loss of an executor.
     """
-    score = seeds.select("node", F.col("mass").alias("score"))
-    for i in range(rounds):
-        moved = score.join(steps, score["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("in"))
-        score = (
-            moved.join(seeds, "node", "full_outer")
-            .select("node", (RESTART * F.coalesce("mass", F.lit(0.0)) + (1 - RESTART) * F.coalesce("in", F.lit(0.0))).alias("score"))
-        )
-        if i % 3 == 2 and i + 1 < rounds:
-            score = cut(score)
-    return score
+    out = steps.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True))
+    mass = F.coalesce("mass", F.lit(0.0))
+    score = cut(out.join(seeds, "node", "full_outer").select("node", mass.alias("mass"), F.coalesce("out", F.lit(False)).alias("out"), mass.alias("score"), F.lit(0.0).alias("before")))
+    for _ in range(rounds):
+        dangling = score.agg(F.sum(F.when(~F.col("out"), F.col("score")))).first()[0] or 0.0
+        moved = score.where("score > 0").join(steps, score["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("in"))
+        given = RESTART * F.col("mass") + (1 - RESTART) * (F.coalesce("in", F.lit(0.0)) + dangling * F.col("mass"))
+        score = cut(score.join(moved, "node", "left").select("node", "mass", "out", given.alias("score"), F.col("score").alias("before")))
+        if (score.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) <= tolerance:
+            break
+    return score.where("score > 0").select("node", "score")
 
 
 def best_paths(steps: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from anamnesis.session import cut, spread
 from anamnesis.sources.tables import table
 
 TOP, MAX_SHARE, NEIGHBOURS, LEAST_COSINE = 10, 0.1, 5, 0.30
-#: MAX_SHARE only bounds the stored SQL of BM25; the queries score every term.
+#: MAX_SHARE and ROUNDS are those of the stored SQL alone: BM25 scores every term, PageRank runs until it converges.
 ROUNDS = 4
 KINDS = ("reply", "adjacent", "shared_entity", "keyword", "mutual_topk", "episode_member", "replacement")
 CUTOFF = "2024-09-01"
@@ -270,9 +270,9 @@ def _steps_and_seeds(s, d):
 
 
 def ppr(s, d):
-    """Scores after ROUNDS rounds from the first message of every session."""
+    """Scores at convergence, from the first message of every session."""
     steps, seeds = _steps_and_seeds(s, d)
-    return graph.pagerank(steps, seeds, ROUNDS).select("node", F.round("score", 9).alias("score"))
+    return graph.pagerank(steps, seeds).select("node", F.round("score", 9).alias("score"))
 
 
 def best_path(s, d):

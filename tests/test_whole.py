@@ -80,3 +80,27 @@ def test_graph_has_every_kind_that_the_tables_give(spark):
     assert Counter(e.removeprefix("episode:") for e in ends) == sizes
     reached = {r.node for r in recall.ppr(spark, FOLDER).collect()}
     assert {e for r in edges if r.kind == "keyword" and {r.src, r.dst} & reached for e in (r.src, r.dst)} <= reached
+
+
+def test_pagerank_converges_and_keeps_dangling_mass(spark):
+    from anamnesis.operators import graph
+
+    names = [f"n{i}" for i in range(30)]
+    edges = [(names[i], names[i + 1], 1.0 + i % 3) for i in range(29)] + [("n0", "n9", 4.0)]
+    mass = {"n0": 0.4, "n5": 0.1, "alone": 0.5}
+    way = {}
+    for a, b, w in edges:
+        way.setdefault(a, {})[b] = w
+        way.setdefault(b, {})[a] = w
+    rank, rounds = dict(mass), 0
+    while True:
+        new = {n: 0.5 * (mass.get(n, 0) + sum(s for x, s in rank.items() if x not in way) * mass.get(n, 0)) for n in [*names, "alone"]}
+        for n, s in rank.items():
+            for to, w in way.get(n, {}).items():
+                new[to] += 0.5 * s * w / sum(way[n].values())
+        change, rank, rounds = sum(abs(new[n] - rank.get(n, 0)) for n in new), new, rounds + 1
+        if change <= 1e-6:
+            break
+    steps = graph.transitions(spark.createDataFrame(edges, "src string, dst string, weight double"))
+    got = {r.node: r.score for r in graph.pagerank(steps, spark.createDataFrame(list(mass.items()), "node string, mass double")).collect()}
+    assert rounds > 4 and got == pytest.approx({n: s for n, s in rank.items() if s > 0}, abs=1e-12) and sum(got.values()) == pytest.approx(1.0)
