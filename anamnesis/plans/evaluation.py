@@ -12,7 +12,7 @@ from anamnesis.sources.tables import table
 
 #: Fixed values of the reference: boundary thresholds and votes, and shares of the budget in percent
 #: (recent, exact, episode, graph) by kind of question.
-NEAR, FAR, VOTES, GAP_MINUTES = 0.65, 0.55, 2, 30
+NEAR, FAR, VOTES, GAP_MINUTES = 0.65, 0.55, 2, 30  # the minutes hold only for a profile in no configuration
 SHIFT, DISTANCE = 0.60, 0.50
 PERCENT = {
     "exact_fact": (45, 40, 5, 10),
@@ -175,9 +175,11 @@ def link_targets(s, d):
 
 
 def _inputs(s, d) -> DataFrame:
-    """Each event once, as delivered first by its content, with both instants."""
-    held = F.struct("session_id", "created_at", "previous_user_created_at", "content", "previous_user_content", "cosine_similarity")
+    """Each event once, as delivered first by its content, with both instants and its profile's gap limit in seconds."""
+    held = F.struct("session_id", "created_at", "previous_user_created_at", "content", "previous_user_content", "cosine_similarity", "profile_id")
     b = table(s, d, "boundary_inputs").where("event_id is not null").groupBy("event_id").agg(F.min(held).alias("b")).select("event_id", "b.*")
+    c = table(s, d, "memory_configs").where("profile_id is not null").groupBy("profile_id").agg(F.max_by("episode_gap_minutes", "config_version").alias("minutes"))
+    b = b.join(c, "profile_id", "left").withColumn("limit_s", F.coalesce("minutes", F.lit(GAP_MINUTES)).cast("long") * 60)
     return b.withColumn("now", rfc3339(F.col("created_at"))).withColumn("before", rfc3339(F.col("previous_user_created_at")))
 
 
@@ -190,12 +192,16 @@ def _gap_state() -> Column:
     return (
         F.when(F.col("previous_user_created_at").isNull(), "first_message")
         .when(F.col("now").isNull() | F.col("before").isNull() | (g < 0), "invalid_or_out_of_order")
-        .when(g > GAP_MINUTES * 60, "greater_than_threshold")
-        .when(g == GAP_MINUTES * 60, "equal_to_threshold")
+        .when(g > F.col("limit_s"), "greater_than_threshold")
+        .when(g == F.col("limit_s"), "equal_to_threshold")
         .otherwise("below_threshold")
     )
 
 
+def _cue() -> Column:
+    return F.lower("content").rlike("one more thing|otra cosa|encore une chose|noch etwas|nog iets|mais uma coisa|另外|もう一つ")
+
+
 def gap_state(s, d):
     """The state of each event's gap as it was known on arrival, in whole seconds."""
     return _inputs(s, d).select("event_id", _gap_state().alias("gap"))
@@ -203,13 +209,12 @@ def gap_state(s, d):
 
 def boundary_class(s, d):
     """Boundary by rule: session start, cue, gap in whole minutes, then similarity; between the thresholds it is ambiguous."""
-    cue = F.lower("content").rlike("one more thing|otra cosa|encore une chose|noch etwas|nog iets|mais uma coisa|另外|もう一つ")
     minutes = F.when(_seconds() >= 0, F.floor(_seconds() / 60))
     c = F.col("cosine_similarity")
     kind = (
         F.when(F.col("previous_user_created_at").isNull(), "session_start")
-        .when(cue, "cue")
-        .when(minutes > GAP_MINUTES, "gap")
+        .when(_cue(), "cue")
+        .when(minutes > F.col("limit_s") / 60, "gap")
         .when(c < FAR, "dissimilar")
         .when(c >= NEAR, "none")
         .otherwise("ambiguous")
@@ -218,12 +223,12 @@ def boundary_class(s, d):
 
 
 def boundary_votes(s, d):
-    """Soft votes of each event, from its names and its similarity, and whether they or the gap make a boundary."""
+    """Soft votes of each event, from its names and its similarity, and whether they, the gap or an explicit cue make a boundary."""
     names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Z][a-z]{4,}"), F.lit(0)))
     i = _inputs(s, d).withColumn("a", names("content")).withColumn("b", names("previous_user_content"))
     far = F.when((F.size("a") > 0) & (F.size("b") > 0), 1 - F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= DISTANCE)
     votes = F.when(far, 1).otherwise(0) + F.when(F.col("cosine_similarity") < SHIFT, 1).otherwise(0)
-    hard = _gap_state().isin("first_message", "greater_than_threshold")
+    hard = _gap_state().isin("first_message", "greater_than_threshold") | F.coalesce(_cue(), F.lit(False))
     return i.select("event_id", votes.alias("soft_votes"), (hard | (votes >= VOTES)).alias("is_boundary"))
 
 

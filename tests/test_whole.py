@@ -104,3 +104,19 @@ def test_pagerank_converges_and_keeps_dangling_mass(spark):
     steps = graph.transitions(spark.createDataFrame(edges, "src string, dst string, weight double"))
     got = {r.node: r.score for r in graph.pagerank(steps, spark.createDataFrame(list(mass.items()), "node string, mass double")).collect()}
     assert rounds > 4 and got == pytest.approx({n: s for n, s in rank.items() if s > 0}, abs=1e-12) and sum(got.values()) == pytest.approx(1.0)
+
+
+def test_gap_states_follow_the_profile(spark, tmp_path):
+    from anamnesis.plans import evaluation
+
+    held = "session_id string, profile_id string, event_id string, created_at string, previous_user_created_at string, content string, previous_user_content string, cosine_similarity double"
+    row = lambda e, profile, now, content="so": ("s", profile, e, f"2024-01-01T{now}Z", "2024-01-01T00:00:00Z", content, "so", 0.9)
+    rows = [row("a", "kiosk", "00:12:00"), row("b", "kiosk", "00:13:00"), row("c", "classroom", "00:44:00"), row("d", "classroom", "00:46:00"), row("e", "none", "00:31:00"), row("f", "classroom", "00:01:00", "One more thing")]
+    spark.createDataFrame(rows, held).write.parquet(f"{tmp_path}/boundary_inputs.parquet")
+    limits = [("kiosk", 1, 30), ("kiosk", 2, 12), ("classroom", 2, 45)]
+    spark.createDataFrame(limits, "profile_id string, config_version int, episode_gap_minutes int").write.parquet(f"{tmp_path}/memory_configs.parquet")
+    last = lambda f: {r[0]: r[-1] for r in f(spark, str(tmp_path)).collect()}
+    below, above = "below_threshold", "greater_than_threshold"
+    assert last(evaluation.gap_state) == {"a": "equal_to_threshold", "b": above, "c": below, "d": above, "e": above, "f": below}
+    assert last(evaluation.boundary_class) == {"a": "none", "b": "gap", "c": "none", "d": "gap", "e": "gap", "f": "cue"}
+    assert last(evaluation.boundary_votes) == {"a": False, "b": True, "c": False, "d": True, "e": True, "f": True}
