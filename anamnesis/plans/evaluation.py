@@ -77,20 +77,42 @@ def token_f1(s, d):
     return _f1(s, d)
 
 
-def eval_score(s, d):
-    """All scores of a case side by side."""
-    c = _cases(s, d).select("id", "question_class", "stale_evidence")
-    stale = (
-        c.select("id", F.explode("stale_evidence").alias("evidence"))
-        .join(_ranking(s, d).where("rank <= 10").select("id", "evidence"), ["id", "evidence"])
-        .select("id")
-        .distinct()
-        .withColumn("stale_recalled", F.lit(True))
+#: Scores of a case beside recall, MRR and F1; those of one class are null in the others.
+SCORES = ("answer_correct", "temporal_correct", "conflict_correct", "refused", "correct_refusal", "relevant_selected", "stale_recalled", "no_answer_false_recall")
+
+
+def _case_scores(s, d) -> DataFrame:
+    """Scores of the first ranked message as the answer and of the first ten as the selected evidence.
+
+    A case without an expected answer is right if it is refused. stale_recalled is null without stale evidence.
+    """
+    r = _ranking(s, d).where("rank <= 10").groupBy("id").agg(F.collect_list("evidence").alias("top"), F.max(F.when(F.col("rank") == 1, F.col("content"))).alias("answer"))
+    c = _cases(s, d).join(r, "id", "left")
+    answer = normal_answer(F.coalesce("answer", F.lit("")))
+    n = lambda name: F.coalesce(F.size(F.array_intersect(name, "top")), F.lit(0))
+    among = lambda name: F.greatest(n(name), F.lit(0))
+    of = lambda kind, score: F.when(F.col("question_class") == kind, score)
+    refused = answer == "no answer"
+    right = F.when(F.col("expected_answer").isNull(), refused).otherwise(answer == normal_answer(F.col("expected_answer")))
+    return c.select(
+        "id",
+        right.alias("answer_correct"),
+        of("temporal", right).alias("temporal_correct"),
+        of("conflict_update", right).alias("conflict_correct"),
+        refused.alias("refused"),
+        of("no_answer", refused).alias("correct_refusal"),
+        among("gold_evidence").alias("relevant_selected"),
+        F.when(F.size("stale_evidence") > 0, among("stale_evidence") > 0).alias("stale_recalled"),
+        of("no_answer", among("negative_evidence") > 0).alias("no_answer_false_recall"),
     )
-    out = c.drop("stale_evidence")
-    for x in (recall_at_k(s, d), mrr(s, d), _f1(s, d), stale):
+
+
+def eval_score(s, d):
+    """The scores of a case side by side that need no model's answer and no token usage."""
+    out = _cases(s, d).select("id", "question_class")
+    for x in (recall_at_k(s, d), mrr(s, d), _f1(s, d), _case_scores(s, d)):
         out = out.join(x, "id", "left")
-    return out.withColumn("stale_recalled", F.coalesce("stale_recalled", F.lit(False)))
+    return out
 
 
 def percentile(value: Column, q: float) -> Column:
@@ -102,7 +124,7 @@ def percentile(value: Column, q: float) -> Column:
 def eval_agg(s, d):
     """A3: mean, median, 95th percentile and count of each score by class."""
     e = eval_score(s, d)
-    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in ("recall_5", "recall_10", "mrr", "f1")])
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in ("recall_5", "recall_10", "mrr", "f1", *SCORES)])
     flat = e.select("question_class", F.explode(metrics).alias("m")).select("question_class", "m.metric", "m.v").where("v is not null")
     return flat.groupBy("question_class", "metric").agg(
         F.round(F.avg("v"), 9).alias("mean"), percentile(F.col("v"), 0.5).alias("p50"), percentile(F.col("v"), 0.95).alias("p95"), F.count(F.lit(1)).alias("n")
@@ -118,6 +140,7 @@ def eval_summary(s, d):
         F.round(F.avg("mrr"), 9).alias("mrr"),
         F.round(F.avg("f1"), 9).alias("f1"),
         F.count_if("stale_recalled").alias("n_stale"),
+        *[F.round(F.avg(F.col(x).cast("double")), 9).alias(x) for x in SCORES],
     )
 
 

@@ -120,3 +120,24 @@ def test_gap_states_follow_the_profile(spark, tmp_path):
     assert last(evaluation.gap_state) == {"a": "equal_to_threshold", "b": above, "c": below, "d": above, "e": above, "f": below}
     assert last(evaluation.boundary_class) == {"a": "none", "b": "gap", "c": "none", "d": "gap", "e": "gap", "f": "cue"}
     assert last(evaluation.boundary_votes) == {"a": False, "b": True, "c": False, "d": True, "e": True, "f": True}
+
+
+@needs_data
+def test_case_scores_against_plain_python(spark):
+    from anamnesis.plans import evaluation as E
+
+    ranked = {}
+    for r in E._ranking(spark, FOLDER).where("rank <= 10").orderBy("id", "rank").collect():
+        ranked.setdefault(r.id, []).append(r)
+    marks = re.compile(r"[!-/:-@\[-`{-~]")
+    plain = lambda t: " ".join(w for w in marks.sub(" ", t.lower()).split() if w not in ("a", "an", "the"))
+    want = {}
+    for c in E._cases(spark, FOLDER).collect():
+        top = ranked.get(c.id, [])
+        said, ids = plain(top[0].content) if top else "", {r.evidence for r in top}
+        refused = said == "no answer"
+        right = refused if c.expected_answer is None else said == plain(c.expected_answer)
+        of = lambda kind, v: v if c.question_class == kind else None  # noqa: B023, E731
+        met = lambda a: len(ids & set(a or ()))  # noqa: B023, E731
+        want[c.id] = (right, of("temporal", right), of("conflict_update", right), refused, of("no_answer", refused), met(c.gold_evidence), met(c.stale_evidence) > 0 if c.stale_evidence else None, of("no_answer", met(c.negative_evidence) > 0))
+    assert {r.id: tuple(r[x] for x in E.SCORES) for r in E.eval_score(spark, FOLDER).collect()} == want
