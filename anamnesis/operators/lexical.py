@@ -19,7 +19,7 @@ from anamnesis.session import cut, width
 
 K1, B = 1.2, 0.75
 #: Most queries and texts, about, that a task of BM25 holds at once.
-QUERY_BLOCK, TEXT_BLOCK = 2048, 4096
+QUERY_BLOCK, TEXT_BLOCK = 16384, 16384
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
