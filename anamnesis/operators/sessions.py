@@ -9,20 +9,30 @@ built once; a setting is a filter over its nodes.
 Entities may be of any size. Events are range-partitioned by (entity, instant), so that a hot
 entity lies in many partitions. Each partition is one chunk and builds its trees in one pass with
 the usual stack. Only the first and last entity of a chunk can go on in another; of these the
-nodes on the left and right spine are still open (the parent may lie in another chunk) and are
-sent on, everything else is final. The open spines of an entity, a few dozen nodes per chunk,
-are merged with the gaps between chunks by the same stack.
+nodes on the left and right spine are still open (the parent may lie in another chunk), everything
+else is final. Of a run of equal gaps on a spine only the first and the last stay open, as all
+between them is final. So the open gaps of a spine strictly rise or fall (but for such twins), and
+m of them last m * m / 2 seconds at least.
+
+Open nodes are merged across chunks without ever gathering an entity. What ends a node's run is the
+nearest greater gap on either side. If it is not in the node's own chunk, it is in the nearest chunk
+whose greatest gap is greater, and there it is the nearest on that chunk's spine. So each chunk is
+told only the greatest gap of every chunk of the entity, finds the chunks that end its open nodes,
+and a lookup by value, in buckets of BUCKET values, finds the gaps in them. Gaps that only rise or
+fall over all chunks are handled by as many tasks as there are chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anamnesis.session import width
+from anamnesis.operators.ordered import neighbours
+from anamnesis.session import cut, width
 
 #: Parent gap of a node without parent. No real gap is as large.
 ENDLESS = 2**62
@@ -35,8 +45,13 @@ NODE = (
 )
 #: One segment of an open chunk: the events between two neighbouring open gaps.
 OPEN = ", chunk int, part int, gap_after long, lone boolean"
+#: An open node of a chunk or what ends one there: role, places of its first and last event in the entity,
+#: the chunks where its run ends, and the ending gaps that are known.
+MATCHED = NODE + ", chunk int, role string, first_at long, last_at long, left_chunk int, right_chunk int, left_gap long, right_gap long"
 _COLUMNS = [x.split()[0] for x in (NODE + OPEN).split(", ")]
 _BATCH = 20_000
+#: Gaps of this many consecutive values are looked up together.
+BUCKET = 1024
 
 
 def _whole(a: tuple, b: tuple) -> int:
@@ -47,24 +62,23 @@ def _whole(a: tuple, b: tuple) -> int:
 class _Tree:
     """The stack pass over one entity in one chunk."""
 
-    __slots__ = ("key", "left_open", "spine", "stack", "start", "unit", "last")
+    __slots__ = ("key", "left_open", "spine", "stack", "start", "last")
 
     def __init__(self, key: tuple, first: tuple, left_open: bool):
         self.key, self.left_open = key, left_open
         self.spine: list[tuple] = []  # popped gaps that may have a greater one in an earlier chunk
         self.stack: list[tuple] = []  # (gap, first event under it, event before it, event after it)
-        self.start = first
-        self.unit = self.last = first  # first and last event of the last leaf: one event, in a merge one segment
+        self.start = self.last = first
 
     def _node(self, gap, parent, first, last):
         return (*self.key, gap, parent, first[0], last[0], first[1], first[2], last[1], last[2], last[3] - first[3] + 1)
 
-    def add(self, event: tuple, gap: int, out: list, lone: bool = True) -> None:
-        """The next event, gap seconds after the last one. lone: the last one is a leaf to be given out."""
+    def add(self, event: tuple, gap: int, out: list) -> None:
+        """The next event, gap seconds after the last one."""
         stack, last = self.stack, self.last
-        if lone and (stack or not self.left_open):
+        if stack or not self.left_open:
             out.append(self._node(LEAF, min(stack[-1][0] if stack else ENDLESS, gap), last, last))
-        first = self.unit
+        first = last
         while stack and stack[-1][0] <= gap:
             top = stack.pop()
             first = top[1]
@@ -72,15 +86,16 @@ class _Tree:
                 parent = min(stack[-1][0] if stack else ENDLESS, gap)
                 if parent > top[0]:
                     out.append(self._node(top[0], parent, first, last))
+            elif len(self.spine) > 1 and self.spine[-1][0] == self.spine[-2][0] == top[0]:
+                self.spine[-1] = top  # of a run of equal gaps only both ends stay open
             else:
                 self.spine.append(top)
         stack.append((gap, first, last, event))
-        self.unit = self.last = event
+        self.last = event
 
-    def close(self, out: list, lone: bool = True) -> None:
+    def close(self, out: list) -> None:
         """No later chunk holds this entity, and no earlier one does."""
-        if lone:
-            out.append(self._node(LEAF, self.stack[-1][0] if self.stack else ENDLESS, self.last, self.last))
+        out.append(self._node(LEAF, self.stack[-1][0] if self.stack else ENDLESS, self.last, self.last))
         while self.stack:
             top = self.stack.pop()
             parent = self.stack[-1][0] if self.stack else ENDLESS
@@ -142,23 +157,123 @@ def _chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
-def _merge(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Open segments of one entity, of all chunks, to its final nodes."""
-    pieces = pieces.sort_values(["chunk", "part"])
+def _match(seg: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+    """The open nodes of one entity in one chunk, with the gaps that end their runs or the chunks that hold those.
+
+    Beside them it gives the chunk's own spines, in which others look up the ends of theirs.
+    """
+    seg, about = seg.sort_values("part"), info.iloc[0]
+    key, chunk = (about["owner"], about["profile"]), int(about["of_chunk"])
+    ids, n = (seg["first_event"].tolist(), seg["last_event"].tolist()), seg["n_events"].to_numpy("int64")
+    begin = int(about["before"]) + np.cumsum(n) - n
+    firsts = list(zip(ids[0], seg["first_sec"].tolist(), seg["first_nano"].tolist(), begin.tolist()))
+    lasts = list(zip(ids[1], seg["last_sec"].tolist(), seg["last_nano"].tolist(), (begin + n - 1).tolist()))
+    gaps, after = [int(g) for g in seg["gap_after"].tolist()[:-1]], firsts[1:]
+    if not pd.isna(about["joint"]):
+        gaps.append(int(about["joint"]))
+        after.append((about["next_event"], int(about["next_sec"]), int(about["next_nano"]), lasts[-1][3] + 1))
+    start = (about["start_event"], int(about["start_sec"]), int(about["start_nano"]), 0)
+    stop = (about["stop_event"], int(about["stop_sec"]), int(about["stop_nano"]), int(about["n_all"]) - 1)
+    peaks = [(int(p["chunk"]), -1 if p["peak"] is None else int(p["peak"])) for p in about["peaks"]]
+    here = next(i for i, p in enumerate(peaks) if p[0] == chunk)
+
+    def records(others) -> tuple[list[int], list[int]]:
+        """Chunks on one side, from the near to the far, that exceed all nearer ones."""
+        values, chunks = [], []
+        for c, peak in others:
+            if not values or peak > values[-1]:
+                values.append(peak)
+                chunks.append(c)
+        return values, chunks
+
+    (left_v, left_c), (right_v, right_c) = records(reversed(peaks[:here])), records(peaks[here + 1 :])
     out: list[tuple] = []
-    tree, at, gap, lone = None, 0, None, False
-    for p in pieces.itertuples(index=False):
-        first = (p.first_event, int(p.first_sec), int(p.first_nano), at)
-        last = (p.last_event, int(p.last_sec), int(p.last_nano), at + int(p.n_events) - 1)
-        at += int(p.n_events)
-        if tree is None:
-            tree = _Tree((p.entity, p.profile), first, False)
-        else:
-            tree.add(first, _whole(tree.last, first) if gap is None else gap, out, lone)
-        tree.last = last
-        gap, lone = None if pd.isna(p.gap_after) else int(p.gap_after), bool(p.lone)
-    tree.close(out, lone)
-    return pd.DataFrame(out, columns=_COLUMNS[:11])
+
+    def give(role, gap, parent, first, last, left_chunk=None, right_chunk=None, left_gap=None, right_gap=None):
+        out.append((*key, gap, parent, first[0], last[0], first[1], first[2], last[1], last[2], last[3] - first[3] + 1, chunk, role, first[3], last[3], left_chunk, right_chunk, left_gap, right_gap))
+
+    # The nearest greater gap before each, and the nearest one after it that is as great.
+    lower, upper, stack = [-1] * len(gaps), [-1] * len(gaps), []
+    for i, g in enumerate(gaps):
+        while stack and gaps[stack[-1]] <= g:
+            upper[stack.pop()] = i
+        lower[i] = stack[-1] if stack else -1
+        stack.append(i)
+    for i in stack:
+        give("left", gaps[i], None, after[i], lasts[i])
+    greatest = -1
+    for i, g in enumerate(gaps):
+        if g > greatest:
+            give("right", g, None, after[i], lasts[i])
+            greatest = g
+        if upper[i] >= 0 and gaps[upper[i]] == g:
+            continue  # the last of equal gaps stands for their node
+        first, last, lc, rc, lg, rg = start, stop, None, None, ENDLESS, ENDLESS
+        if lower[i] >= 0:
+            first, lg = after[lower[i]], gaps[lower[i]]
+        elif (k := int(np.searchsorted(left_v, g, "right"))) < len(left_v):
+            lc = left_c[k]
+        if upper[i] >= 0:
+            last, rg = lasts[upper[i]], gaps[upper[i]]
+        elif (k := int(np.searchsorted(right_v, g, "left"))) < len(right_v):
+            rc = right_c[k]
+        give("node", g, None, first, last, lc, rc, lg, rg)
+    before = ENDLESS if pd.isna(about["joint_before"]) else int(about["joint_before"])
+    for i, lone in enumerate(seg["lone"].tolist()):
+        if lone:
+            parent = min(gaps[i - 1] if i else before, gaps[i] if i < len(gaps) else ENDLESS)
+            give("leaf", LEAF, parent, firsts[i], firsts[i])
+    got = pd.DataFrame(out, columns=[x.split()[0] for x in MATCHED.split(", ")])
+    return got.astype({c: "Int64" for c in ("parent_gap", "left_chunk", "right_chunk", "left_gap", "right_gap")})
+
+
+def _seconds(a: str, b: str) -> Column:
+    """Whole seconds from event struct a to event struct b."""
+    return F.col(f"{b}.sec") - F.col(f"{a}.sec") - F.when(F.col(f"{b}.nano") < F.col(f"{a}.nano"), 1).otherwise(0)
+
+
+def _merged(pieces: DataFrame) -> DataFrame:
+    """Open segments of all chunks to the final nodes of their entities."""
+    by = Window.partitionBy("entity").orderBy("chunk")  # one row per chunk that holds the entity
+    end = lambda side: F.struct(F.col(f"{side}_event").alias("event"), F.col(f"{side}_sec").alias("sec"), F.col(f"{side}_nano").alias("nano"))
+    border = (
+        pieces.groupBy("entity", "chunk")
+        .agg(F.first("profile").alias("profile"), F.min_by(end("first"), "part").alias("a"), F.max_by(end("last"), "part").alias("b"), F.sum("n_events").alias("n"), F.max("gap_after").alias("inner"))
+        .withColumn("next", F.lead("a").over(by))
+        .withColumn("prev", F.lag("b").over(by))
+        .withColumn("before", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("joint", _seconds("b", "next"))
+        .withColumn("joint_before", _seconds("prev", "a"))
+    )
+    whole = border.groupBy("entity").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", F.greatest("inner", "joint").alias("peak")))).alias("peaks"),
+        F.min_by("a", "chunk").alias("start"), F.max_by("b", "chunk").alias("stop"), F.sum("n").alias("n_all"),
+    )
+    flat = lambda c: [F.col(f"{c}.{x}").alias(f"{c}_{x}") for x in ("event", "sec", "nano")]
+    info = border.join(whole, "entity").select(F.col("entity").alias("owner"), F.col("chunk").alias("of_chunk"), "profile", "before", "joint", "joint_before", "n_all", "peaks", *flat("next"), *flat("start"), *flat("stop"))
+    matched = cut(pieces.groupBy("entity", "chunk").cogroup(info.groupBy("owner", "of_chunk")).applyInPandas(_match, MATCHED))
+    nodes = matched.where("role = 'node'")
+    asked = lambda side: nodes.where(f"{side}_chunk is not null").select("entity", F.lit(side).alias("side"), F.col(f"{side}_chunk").alias("chunk"), "gap").distinct()
+    # On the left a greater gap ends the run, on the right one that is as great.
+    place = F.when((F.col("side") == "left") == F.col("end").isNotNull(), 0).otherwise(1)
+    at = F.when(F.col("role") == "left", F.struct("gap", F.col("first_event").alias("event"), F.col("first_sec").alias("sec"), F.col("first_nano").alias("nano"), F.col("first_at").alias("at"))).otherwise(
+        F.struct("gap", F.col("last_event").alias("event"), F.col("last_sec").alias("sec"), F.col("last_nano").alias("nano"), F.col("last_at").alias("at"))
+    )
+    spines = matched.where("role in ('left', 'right')").select("entity", F.col("role").alias("side"), "chunk", "gap", at.alias("end"))
+    both = spines.unionByName(asked("left").unionByName(asked("right")), allowMissingColumns=True).withColumn("place", place)
+    met = neighbours(both, ["entity", "side", "chunk"], F.floor(F.col("gap") / BUCKET), ["gap", "place"], F.col("end")).where("end is null")
+    side = lambda name: met.where(F.col("side") == name).select("entity", F.col("chunk").alias(f"{name}_chunk"), "gap", F.col("value_after").alias(name))
+    full = nodes.join(side("left"), ["entity", "left_chunk", "gap"], "left").join(side("right"), ["entity", "right_chunk", "gap"], "left")
+    lg, rg = F.coalesce("left.gap", "left_gap"), F.coalesce("right.gap", "right_gap")
+    first_at, last_at = F.coalesce("left.at", "first_at"), F.coalesce("right.at", "last_at")
+    done = full.where(rg > F.col("gap")).select(
+        "entity", "profile", "gap", F.least(lg, rg).alias("parent_gap"),
+        F.coalesce("left.event", "first_event").alias("first_event"), F.coalesce("right.event", "last_event").alias("last_event"),
+        F.coalesce("left.sec", "first_sec").alias("first_sec"), F.coalesce("left.nano", "first_nano").alias("first_nano"),
+        F.coalesce("right.sec", "last_sec").alias("last_sec"), F.coalesce("right.nano", "last_nano").alias("last_nano"),
+        (last_at - first_at + 1).alias("n_events"),
+    )
+    return done.unionByName(matched.where("role = 'leaf'").select(done.columns))
 
 
 def gap_tree(events: DataFrame, entity: str, event: str, instant: Column, tie: str, profile: Column | None = None) -> DataFrame:
@@ -179,16 +294,15 @@ def gap_tree(events: DataFrame, entity: str, event: str, instant: Column, tie: s
         F.col(tie).alias("tie"),
     ).where("entity is not null and event is not null and sec is not null")
     order = ["entity", "sec", "nano", "tie", "event"]
-    chunks = (
+    # Written once: final nodes and open segments come from one pass over the sorted events.
+    chunks = cut(
         slim.repartitionByRange(width(events.sparkSession), *order)
         .sortWithinPartitions(*order)
         .drop("tie")
         .mapInPandas(_chunk, NODE + OPEN)
     )
     nodes = [x.split()[0] for x in NODE.split(", ")]
-    final = chunks.where("chunk is null").select(nodes)
-    merged = chunks.where("chunk is not null").groupBy("entity").applyInPandas(_merge, NODE)
-    return final.unionByName(merged)
+    return chunks.where("chunk is null").select(nodes).unionByName(_merged(chunks.where("chunk is not null")))
 
 
 def cut_tree(nodes: DataFrame, threshold: Column) -> DataFrame:

@@ -59,3 +59,37 @@ def test_fraction_is_dropped_and_equal_gaps_stay(spark):
     rows = [("a", "x", 0, 0, 1, None, None), ("a", "y", 1800, 900, 2, None, None), ("a", "z", 3601, 900, 3, None, None)]
     nodes = gap_tree(spark.createDataFrame(rows, SCHEMA), "s", "e", F.struct("sec", "nano"), "q")
     assert {(r.first_event, r.last_event) for r in cut_tree(nodes, F.lit(1800)).collect()} == {("x", "y"), ("z", "z")}
+
+
+def test_gaps_that_are_equal_or_only_rise_or_fall(spark):
+    """Equal gaps leave few segments open; those that must stay open go through many small groups."""
+    from anamnesis.operators import sessions
+
+    n, parts, sizes = 4000, 16, []
+    shapes = {"equal": lambda i: 60, "rising": lambda i: i, "falling": lambda i: n - i, "valley": lambda i: abs(n // 2 - i), "hill": lambda i: n - abs(n // 2 - i)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    held, kept = sessions._merged, {}
+
+    def merged(pieces):
+        sizes.append({r[0]: r[1] for r in pieces.groupBy("chunk").count().collect()})
+        return held(pieces)
+
+    sessions._merged = merged
+    try:
+        for name, gap in shapes.items():
+            t, rows = 0, []
+            for i in range(n):
+                t += gap(i)
+                rows.append((name, f"{name}{i:05d}", t, 0, i, None, None))
+            nodes = gap_tree(spark.createDataFrame(rows, SCHEMA), "s", "e", F.struct("sec", "nano"), "q").toPandas()
+            for limit in (0, 59, 60, 1000, 2500, 3999):
+                got = nodes[(nodes.gap <= limit) & (nodes.parent_gap > limit)]
+                assert set(zip(got.entity, got.first_event, got.last_event, got.n_events)) == brute(rows, limit)
+            kept[name] = sizes.pop()
+    finally:
+        sessions._merged = held
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(kept["equal"].values()) <= 4 * parts
+    assert max(kept["rising"].values()) <= 2 * n // parts and len(kept["rising"]) > parts // 2
+    assert max(kept["falling"].values()) <= 2 * n // parts
