@@ -83,7 +83,17 @@ REFUSALS = (
     r"\b(sinto muito|desculpe|desculpa|infelizmente|lamento)\b.*\bnao (posso|podemos|me e permitido|e possivel|consigo)\b",
     r"^nao (posso|podemos|me e permitido|consigo) (dizer|ajudar|responder|falar|dar|tratar|comentar|fornecer)\b|^prefiro nao (falar|responder|tratar|comentar)\b|\bfora do que (me e permitido|posso)\b|^(nao ha|sem) resposta$|^(tenho de|devo|preciso) recusar\b|\besta (fora|alem) do que\b.*\b(posso|permit)|^nao sei$",
     r"\bultrapassa o que\b.*\b(posso|permit)|\bessa pergunta\b.*\b(fora|alem|ultrapassa)\b",
-    # Chinese and Japanese
+)
+
+#: Words of which every pattern of REFUSALS needs one, so that a sentence without any is not tried.
+REFUSAL_WORDS = (
+    "sorry afraid apologies cannot cant t not unable decline refuse pass down respectfully guidelines rules policy policies programming "
+    "outside no ai assistant artificial nicht nichts kein keine ablehnen passen fuera sin rechazar declinar ne impossible pas depasse "
+    "aucune sans refuser decliner geen niet niets niks nao fora sem recusar alem ultrapassa"
+)
+
+#: The same for Chinese and Japanese.
+REFUSALS_CJK = (
     r"违反.{0,8}(准则|规定|规则|政策)|(只能|必须|只好|不得不)拒绝|規則により.*(できません|控え)",
     r"(抱歉|对不起|不好意思|很遗憾|遗憾).*(无法|不能|不可以|没办法|不便|不会)(协助|讨论|回答|提供|帮|透露|谈|说)?",
     r"^(我|我们)?(无法|不能|不便|没办法)(回答|提供|讨论|协助|透露|谈论|告诉)|不能提供(任何)?(信息|资料|内容)|超出了我(可以|能|所能)?.{0,6}(回答|讨论|处理)?.{0,4}范围|^(没有|无|暂无)(答案|回答|回复)$|^我不知道$|不在我.{0,8}范围|无可奉告",

@@ -51,7 +51,7 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
     """Defects of each turn's last saved state; pending and blocked turns are left out."""
-    state = F.struct("updated_at", "status", "user_content", "assistant_content", "done_reason")
+    state = F.struct("updated_at", "status", "user_content", "assistant_content", "done_reason", "error")
     last = (
         table(spark, folder, "turns")
         .where("id is not null")
@@ -66,6 +66,7 @@ def _flagged(spark: SparkSession, folder: str) -> DataFrame:
             F.col("t.assistant_content").alias("answer"),
             F.col("t.status").alias("status"),
             F.col("t.done_reason").alias("reason"),
+            F.col("t.error").alias("error"),
         )
     )
 

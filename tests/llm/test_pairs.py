@@ -41,8 +41,46 @@ def test_every_defect_is_named_and_long_texts_pass():
     assert defects(None, "word " * 200_000, None, None) == ["truncated"]
 
 
+def test_length_changes_nothing():
+    q, no = "Where are the old notes of the team?", "I can't help with that. "
+    for n in (1, 3, 5, 6, 8, 40, 4000):
+        assert defects(q, no * n, None, None) == ["refusal"]
+        assert defects(q, (q + " ") * n, None, None) == ["echo"]
+    assert defects(q, f"{no * 40}The notes are in the second archive.", None, None) == []
+    long = " ".join(f"Please look at list {i} of the {i % 97} old ones and say what it holds." for i in range(400))
+    assert defects(long, long.replace("list 7 ", "lists 7 "), None, None) == ["echo"]
+    assert "echo" not in defects(long, long[::-1], None, None)
+    assert defects("Combien d'entrées reste-t-il dans l'espace ?", "Combien d'entrées dans l'espace ?", None, None) == ["echo"]
+
+
+def test_empty_and_cut_off_are_both_named():
+    assert defects("Why?", " ", "truncated", "length") == ["empty", "truncated"]
+    assert defects("Why?", "Both, I think.", "complete", "stop", "stream closed") == ["truncated"]
+    assert defects("Why?", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |", None, None) == ["truncated"]
+
+
+def test_edit_distance_against_the_plain_table():
+    import random
+
+    from anamnesis.llm.pairs import _distance, _near
+
+    rng = random.Random(3)
+    for _ in range(400):
+        a = "".join(rng.choices("abc", k=rng.randint(1, 30)))
+        b = "".join(rng.choices("abc", k=rng.randint(0, 30))) if rng.random() < 0.5 else "".join(c for c in a if rng.random() < 0.9)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert _distance(a, b) == row[-1]
+        for most in (0, 1, 2, 5):
+            assert _near(a, b, most) == (row[-1] <= most)
+
+
 def test_frame(spark):
-    schema = "turn_id string, question string, answer string, status string, reason string, defects string"
-    df = spark.createDataFrame([("a", None, None, None, None, "clash"), ("a", None, None, None, None, "clash"), ("b", "q", "Yes.", "complete", "stop", None), (None, "q", "", None, None, None)], schema)
+    schema = "turn_id string, question string, answer string, status string, reason string, error string, defects string"
+    df = spark.createDataFrame([("a", None, None, None, None, None, "clash"), ("a", None, None, None, None, None, "clash"), ("b", "q", "Yes.", "complete", "stop", None, None), (None, "q", "", None, None, None, None)], schema)
     assert sorted((r.turn_id or "", r.defects) for r in flag_pairs(df).collect()) == [("", ["empty"]), ("a", ["empty"]), ("a", ["empty"])]
     assert flag_pairs(df.limit(0)).count() == 0
