@@ -2,9 +2,9 @@
 
 A text is cut into sentences; code, tables, log lines, addresses, names of speakers, quoted or
 bracketed words and lines shorter than a sentence have no language. A byte CNN gives each sentence
-its class probabilities, from the mean of its windows. A long stretch without full stops, as in
-dictated memos, is cut where its windows change their language. Neighbouring sentences of one
-language make one segment.
+its class probabilities, from the mean of its windows, and is cut where its windows change their
+language for more than a passing word, as in dictated memos without full stops. Neighbouring
+sentences of one language make one segment.
 
 The network is trained on the driver from a bounded sample of labelled texts, as labels are often
 wrong: it is fitted once to all sampled sentences, drops those that it then puts in another
@@ -46,8 +46,6 @@ SENTENCES_PER_TEXT = 8
 STEPS = (250, 700)
 #: Least confidence of a sentence, and of one whose language no other sentence of the text has.
 LEAST, LEAST_ALONE = 0.6, 0.9
-#: Bytes of a sentence beyond which its windows are looked at one by one.
-LONG = 4 * LENGTH
 
 
 def label_language(label: Column) -> Column:
@@ -65,12 +63,14 @@ def label_language(label: Column) -> Column:
 _FENCE = re.compile(r"```.*?(?:```|\Z)|<(code|pre)>.*?(?:</\1>|\Z)", re.S)
 _LINE = re.compile(r"[^\n\r]+")
 _LEAD = re.compile(r"\s*(?:[>#*\-+•|]+\s*|\(?\d{1,3}[.)、]\s+|\[[ xX]\]\s*)*(?:[\w .’'-]{1,24}(?:: |：\s*))?")
-_SENTENCE = re.compile(r".*?(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？!?]+[」』”’）)]*|$)", re.S)
+_STOP = re.compile(r"[.!?…。！？](?:(?<=[.!?…])[.!?…]*[\"'”’»)\]]*(?=\s|$)|(?<=[。！？!?])[。！？!?]*[」』”’）)]*)")
 #: Words in brackets or quotes, if no sentence ends in them, addresses, identifiers and numbers.
 _ASIDE = re.compile(
-    r"[(（\[【][^()（）\[\]【】.!?。！？]{0,120}[)）\]】]|[\"“«「『‘][^\"”»」』’.!?。！？]{1,80}[\"”»」』’]|`[^`]*`|https?://\S+|\S+@\S+"
+    r"[(（\[【][^()（）\[\]【】.!?。！？]*[)）\]】]|[\"“«「『‘][^\"”»」』’.!?。！？]+[\"”»」』’]|`[^`]*`|https?://\S+|\S+@\S+"
     r"|[A-Za-z0-9$%./\\_-]*[A-Za-z0-9$%][_=./\\:][A-Za-z0-9$%][A-Za-z0-9$%_=./\\:-]*|(?<![A-Za-z0-9])[A-Za-z]*\d[A-Za-z0-9]*"
 )
+#: What a sentence with an aside has somewhere.
+_MARKED = re.compile(r"[(（\[【\"“«「『‘`@\d]|[A-Za-z0-9$%][_=./\\:][A-Za-z0-9$%/]")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _CODE = re.compile(r"[{}=;<>|\\$^~`*/\[\]()_]")
@@ -78,31 +78,32 @@ _STOPS = tuple(".!?…。！？")
 
 
 def _clean(text: str) -> str:
-    return re.sub(r"\s+", " ", _ASIDE.sub(" ", text)).strip()
+    return " ".join((_ASIDE.sub(" ", text) if _MARKED.search(text) else text).split())
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, text without asides) of every whole sentence that can have a language."""
-    hidden = [(m.start(), m.end()) for m in _FENCE.finditer(text)]
-    got = []
+    hidden = [m.span() for m in _FENCE.finditer(text)] if "```" in text or "<" in text else []
+    got, fence = [], 0
     for line in _LINE.finditer(text):
         a, b = line.span()
-        if any(s < b and a < e for s, e in hidden) or text[a:b].count("|") >= 2:
+        while fence < len(hidden) and hidden[fence][1] <= a:
+            fence += 1
+        if (fence < len(hidden) and hidden[fence][0] < b) or text.count("|", a, b) >= 2:
             continue
         lead = _LEAD.match(text, a, b).end()
         heading = text[a:lead].lstrip().startswith("#")
         at = lead
-        while at < b:
-            end = _SENTENCE.match(text, at, b).end()
+        for end in [*(m.end() for m in _STOP.finditer(text, lead, b)), b]:
             if end <= at:
-                break
+                continue
             raw = text[at:end]
             words = _clean(raw)
-            cjk = len(_CJK.findall(words))
-            latin = len([w for w in _WORD.findall(words) if not _CJK.search(w)])
+            cjk = 0 if words.isascii() else len(_CJK.findall(words))
+            latin = len(_WORD.findall(words)) if not cjk else len([w for w in _WORD.findall(words) if not _CJK.search(w)])
             stopped = raw.rstrip().rstrip("\"'”’»)]」』）").endswith(_STOPS)
             enough = cjk >= 5 or latin >= 3 if stopped and not heading else cjk >= 14 or latin >= 7
-            if enough and len(_CODE.findall(words)) * 8 <= len(words):
+            if enough and (not _CODE.search(words) or len(_CODE.findall(words)) * 8 <= len(words)):
                 got.append((at, end, words))
             at = end
     return got
@@ -163,10 +164,9 @@ def fit(docs: DataFrame) -> ByteCNN:
 
 
 def _runs(p: np.ndarray, start: int, end: int) -> list[tuple[int, int, int, float]]:
-    """Runs of windows of one language within a long sentence as (start, end, class, confidence)."""
+    """Runs of windows of one language within a sentence as (start, end, class, confidence)."""
     smooth = p.copy()
-    if len(p) > 2:
-        smooth[1:-1] = (p[:-2] + 2 * p[1:-1] + p[2:]) / 4
+    smooth[1:-1] = (p[:-2] + 2 * p[1:-1] + p[2:]) / 4
     lab = smooth.argmax(1)
     cuts = np.flatnonzero(np.diff(lab)) + 1
     got = []
@@ -181,27 +181,26 @@ def _runs(p: np.ndarray, start: int, end: int) -> list[tuple[int, int, int, floa
 def classify(net: ByteCNN, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
     """Segments (start, end, language, confidence) of each text, in order."""
     found = [sentences(t) if t else [] for t in texts]
-    flat = [(i, s, e, _bytes(w)) for i, xs in enumerate(found) for s, e, w in xs]
+    # Each distinct sentence goes through the network once.
+    distinct = {w: k for k, w in enumerate(dict.fromkeys(w for xs in found for _, _, w in xs))}
+    x, owner = windows([_bytes(w) for w in distinct], LENGTH)
+    p = net.probabilities(x)
+    begins = np.searchsorted(owner, np.arange(len(distinct)))
+    ends = [*begins[1:].tolist(), len(owner)]
+    # A sentence whose windows agree is one run; the others are looked at one by one.
+    best = p.argmax(1)
+    agree = np.minimum.reduceat(best, begins) == np.maximum.reduceat(best, begins) if len(distinct) else begins
+    first = best[begins].tolist() if len(distinct) else []
+    mean = (np.add.reduceat(p[np.arange(len(p)), best], begins) / np.diff([*begins, len(owner)])).tolist() if len(distinct) else []
+    begins, agree = begins.tolist(), agree.tolist()
     got: list[list[tuple]] = [[] for _ in texts]
-    for at in range(0, len(flat), 8192):
-        part = flat[at : at + 8192]
-        # Short sentences need few windows, long ones are looked at closely.
-        for long, stride in ((False, LENGTH), (True, LENGTH // 2)):
-            some = [x for x in part if (len(x[3]) > LONG) == long]
-            if not some:
-                continue
-            x, owner = windows([s[3] for s in some], stride)
-            p = net.probabilities(x)
-            ends = np.concatenate((np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))
-            begin = 0
-            for (i, s, e, _), stop in zip(some, ends):
-                q = p[begin:stop]
-                begin = stop
-                if long:
-                    got[i] += _runs(q, s, e)
-                else:
-                    mean = q.mean(0)
-                    got[i].append((s, e, int(mean.argmax()), float(mean.max())))
+    for mine, xs in zip(got, found):
+        for s, e, w in xs:
+            k = distinct[w]
+            if agree[k]:
+                mine.append((s, e, first[k], mean[k]))
+            else:
+                mine += _runs(p[begins[k] : ends[k]], s, e)
     return [_joined(sorted(g)) for g in got]
 
 
