@@ -8,18 +8,20 @@ of unmatched chunks are joined by key and classified.
 
 Scale: all snapshots of a source are range-partitioned together by (source, block, key), so a
 source of any size lies in many partitions, and a partition border cuts both snapshots of a pair at
-the same key. A block is BLOCK consecutive snapshots and the one before them, so a key that a
-source delivers very often is cut up as well. Chunks are also cut at LARGEST rows, as a snapshot's
-keys may happen to have no border.
+the same key. So a chunk and the one it may match lie in one partition, sorted by snapshot and key,
+and one pass compares them: it holds two snapshots of a key range, and only rows of unmatched
+chunks leave it. Full rows are shuffled once. A block is BLOCK consecutive snapshots and the one
+before them, so a key that a source delivers very often is cut up as well. Chunks are also cut at
+LARGEST rows, as a snapshot's keys may happen to have no border.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.session import cut, width
@@ -29,95 +31,112 @@ LARGEST = 2048
 BLOCK = 256
 
 
-def _label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Give each row its chunk's first key; rows come sorted by source, block, ordinal and key."""
-    held: tuple | None = None  # (source, block, ordinal, label, rows so far)
-    for b in batches:
-        if not len(b):
-            continue
-        same = np.ones(len(b), bool)
-        for c in ("source", "block", "ordinal"):
-            v = b[c].to_numpy()
-            same[1:] &= v[1:] == v[:-1]
-        goes_on = held is not None and held[:3] == (b["source"].iat[0], b["block"].iat[0], b["ordinal"].iat[0])
-        same[0] = goes_on
-        begins = ~same | b["border"].to_numpy(bool)
-        if goes_on and not begins[0] and held[4] >= LARGEST:
-            begins[0] = True
-        starts = np.flatnonzero(begins)
-        lead = 0 if begins[0] else held[4]  # rows of the open chunk before this batch
-        runs = np.diff(np.concatenate(([0] if not begins[0] else [], starts, [len(b)])).astype(int))
-        if len(runs) and (runs.max() >= LARGEST or lead + runs[0] > LARGEST):
-            at, since = [], lead
-            for i, new in enumerate(begins):
-                if new or since >= LARGEST:
-                    at.append(i)
-                    since = 0
-                since += 1
-            begins[at] = True
-            starts = np.flatnonzero(begins)
-        which = np.cumsum(begins) - 1
-        keys = b["key"].to_numpy(object)
-        labels = np.where(which >= 0, keys[starts[which]] if len(starts) else None, held[3] if held else None)
-        tail = len(b) - starts[-1] if len(starts) else lead + len(b)
-        held = (b["source"].iat[-1], b["block"].iat[-1], b["ordinal"].iat[-1], labels[-1], int(tail))
-        yield b.drop(columns="border").assign(label=labels)
-
-
-def chunked(rows: DataFrame) -> DataFrame:
-    """(source, block, ordinal, label, items, digest): the chunks of rows (source, block, ordinal, key, content)."""
-    order = ["source", "block", "ordinal", "key"]
-    labelled = (
-        rows.select(*order, "content", (F.pmod(F.xxhash64("key"), F.lit(MEAN_CHUNK)) == 0).alias("border"))
-        .repartitionByRange(width(rows.sparkSession), "source", "block", "key")
-        .sortWithinPartitions(*order)
-        .mapInPandas(_label, "source string, block long, ordinal long, key string, content string, label string")
-    )
-    return (
-        labelled.groupBy("source", "block", "ordinal", "label")
-        .agg(F.sort_array(F.collect_list(F.struct("key", "content"))).alias("items"))
-        .withColumn("digest", F.sha2(F.to_json("items"), 256))
-    )
+class _Snapshot:
+    """The chunks of one snapshot in one partition: first key to digest, keys and contents."""
+
+    def __init__(self, at: tuple, largest: int):
+        self.at, self.largest, self.chunks, self.last = at, largest, {}, None
+        self.keys: list = []
+        self.contents: list = []
+
+    def add(self, key: str, content, border: bool) -> None:
+        if key == self.last:
+            return  # several rows of a key: the least content came first
+        if border or len(self.keys) >= self.largest:
+            self.close()
+        self.keys.append(key)
+        self.contents.append(content)
+        self.last = key
+
+    def close(self) -> None:
+        if self.keys:
+            digest = hashlib.sha256()
+            for key, content in zip(self.keys, self.contents):
+                k, c = key.encode("utf-8", "surrogatepass"), content if isinstance(content, bytes) else content.encode("utf-8", "surrogatepass")
+                digest.update(b"%d:%d:" % (len(k), len(c)) + k + c)
+            self.chunks[self.keys[0]] = digest.digest(), self.keys, self.contents
+            self.keys, self.contents = [], []
+
+
+def _unmatched(block: int, largest: int):
+    """Rows of chunks that the snapshot before (is_now) or the next one (not is_now) lacks; input as sorted by changes.
+
+    A row that the next snapshot lacks gets the next one's ordinal. The base of a block, its first
+    ordinal less one, only stands for the snapshot before; what follows its last one is in the next block.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+
+        def give(chunks: dict, others: dict, source, ordinal: int, is_now: bool) -> None:
+            for first, (digest, keys, contents) in chunks.items():
+                if first not in others or others[first][0] != digest:
+                    out.extend((source, ordinal, k, c, is_now) for k, c in zip(keys, contents))
+
+        def compare(old: _Snapshot | None, new: _Snapshot | None) -> None:
+            follows = old is not None and new is not None and new.at == (*old.at[:2], old.at[2] + 1)
+            if old is not None and old.at[2] + 1 < (old.at[1] + 1) * block:
+                give(old.chunks, new.chunks if follows else {}, old.at[0], old.at[2] + 1, False)
+            if new is not None and new.at[2] >= max(1, new.at[1] * block):
+                give(new.chunks, old.chunks if follows else {}, new.at[0], new.at[2], True)
+
+        def frame() -> pd.DataFrame:
+            got = pd.DataFrame(out, columns=["source", "ordinal", "key", "content", "is_now"])
+            out.clear()
+            return got
+
+        old = new = None
+        for b in batches:
+            for *at, key, content, border in zip(b["source"].tolist(), b["block"].tolist(), b["ordinal"].tolist(), b["key"].tolist(), b["content"].tolist(), b["border"].tolist()):
+                if new is None or new.at != tuple(at):
+                    if new is not None:
+                        new.close()
+                        compare(old, new)
+                    old, new = new, _Snapshot(tuple(at), largest)
+                new.add(key, content, border)
+            if len(out) >= 10_000:
+                yield frame()
+        if new is not None:
+            new.close()
+            compare(old, new)
+            compare(new, None)
+        yield frame()
+
+    return rows
 
 
 def changes(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """(source, ordinal, key, change) of every key added, removed or changed against ordinal - 1.
 
-    rows: (source, ordinal, key, content); rows of a null source, ordinal or key are left out, a null
-    content counts as a content of its own, and of several rows of a snapshot and key the least
-    content counts. Other columns are ignored. spans: (source,
+    rows: (source, ordinal, key, content), the content a text or binary; rows of a null source, ordinal
+    or key are left out, a null content counts as an empty one, and of several rows of a snapshot and
+    key the least content counts. Other columns are ignored. spans: (source,
     last_ordinal); ordinals run from 0 without gap, and a snapshot without rows is an empty one.
     The first snapshot of a source gives no changes. Empty input gives none.
     """
+    kind = dict(rows.dtypes)["content"]
     o, block = F.col("ordinal"), F.floor(F.col("ordinal") / BLOCK)
-    clean = (
-        rows.where("source is not null and ordinal is not null and key is not null")
-        .groupBy(F.col("source").cast("string").alias("source"), "ordinal", F.col("key").cast("string").alias("key"))
-        .agg(F.min(F.coalesce("content", F.lit(""))).alias("content"))
-    )
-    blocks = clean.withColumn(
-        "block", F.explode(F.when(o % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block)))
+    clean = rows.where("source is not null and ordinal is not null and key is not null").select(
+        F.col("source").cast("string").alias("source"),
+        F.explode(F.when(o % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"),
+        o.cast("long").alias("ordinal"),
+        F.col("key").cast("string").alias("key"),
+        F.coalesce("content", F.lit("").cast(kind)).alias("content"),
     )
-    w = Window.partitionBy("source", "block", "label", "digest").orderBy("ordinal")
+    order = ["source", "block", "ordinal", "key", "content"]
     # Both sides of the join read it: the few rows of unmatched chunks are written once.
     met = cut(
-        chunked(blocks)
-        .withColumn("old", F.coalesce(F.lag("ordinal").over(w) == o - 1, F.lit(False)))
-        .withColumn("kept", F.coalesce(F.lead("ordinal").over(w) == o + 1, F.lit(False)))
-        .where("not old or not kept")
-        .select("source", "block", "ordinal", "old", "kept", F.explode("items").alias("i"))
-        .select("source", "block", "ordinal", "old", "kept", "i.*")
-    )
-    # The base of a block (its first ordinal less one) only stands for the snapshot before.
-    first = F.col("block") * BLOCK
-    now = met.where(~F.col("old") & (o >= first) & (o > 0)).select("source", "ordinal", "key", F.col("content").alias("now"))
-    before = met.where(~F.col("kept") & (o + 1 < first + BLOCK)).select(
-        "source", (o + 1).alias("ordinal"), "key", F.col("content").alias("before")
+        clean.repartitionByRange(width(rows.sparkSession), "source", "block", "key")
+        .sortWithinPartitions(*order)
+        .select(*order, (F.pmod(F.xxhash64("key"), F.lit(MEAN_CHUNK)) == 0).alias("border"))
+        .mapInPandas(_unmatched(BLOCK, LARGEST), f"source string, ordinal long, key string, content {kind}, is_now boolean")
     )
+    now = met.where("is_now").select("source", "ordinal", "key", F.col("content").alias("now"))
+    before = met.where("not is_now").select("source", "ordinal", "key", F.col("content").alias("before"))
     before = before.join(spans, "source").where("ordinal <= last_ordinal").drop("last_ordinal")
-    kind = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
+    change = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
     return (
         now.join(before, ["source", "ordinal", "key"], "full_outer")
         .where("not (now <=> before)")
-        .select("source", "ordinal", "key", kind.alias("change"))
+        .select("source", "ordinal", "key", change.alias("change"))
     )

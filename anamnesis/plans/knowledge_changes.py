@@ -15,9 +15,9 @@ DAY = 86_400
 
 
 def good_syncs(spark: SparkSession, folder: str) -> DataFrame:
-    """The row of each sync_id that was delivered last, where it is a snapshot."""
+    """The row of each sync_id that was delivered last, where it is a snapshot; its revisions only by their hash."""
     rows = table(spark, folder, "source_states")
-    held = F.struct("delivered_at", "source_id", "enabled", "last_sync_at", "last_success_at", "active_revisions")
+    held = F.struct("delivered_at", "source_id", "enabled", "last_sync_at", "last_success_at", F.xxhash64("active_revisions").alias("revisions"))
     return (
         rows.where("sync_id is not null")
         .groupBy("sync_id")
@@ -28,35 +28,35 @@ def good_syncs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def revisions(spark: SparkSession, folder: str) -> DataFrame:
-    """(revision_id, key, content): the content is named by its hash in lower case, else by the hash of the text."""
-    digest = F.coalesce(F.lower(F.nullif(F.trim("content_sha256"), F.lit(""))), F.sha2(F.col("content"), 256))
+    """(revision_id, key, content): the content is named by its hash, as bytes, else by the hash of the text."""
+    named = F.lower(F.nullif(F.trim("content_sha256"), F.lit("")))
+    digest = F.coalesce(named, F.sha2(F.col("content"), 256))
+    as_bytes = F.coalesce(F.when(F.length(digest) == 64, F.unhex(digest)), F.encode(digest, "UTF-8"))
     return (
         table(spark, folder, "knowledge_snapshots")
         .where("revision_id is not null and document_key is not null")
         .groupBy("revision_id")
-        .agg(F.min(F.struct(F.col("document_key").alias("key"), digest.alias("content"))).alias("r"))
+        .agg(F.min(F.struct(F.col("document_key").alias("key"), as_bytes.alias("content"))).alias("r"))
         .select("revision_id", "r.*")
     )
 
 
-def _numbered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Good syncs; and (sync_id, source, ordinal), where the ordinals run by last_sync_at."""
-    good = good_syncs(spark, folder)
-    slim = good.select("sync_id", F.col("source_id").alias("source"), "last_sync_at")
-    day = F.floor(rfc3339_seconds(F.col("last_sync_at")) / DAY)
-    # Three readers: written once, as it is slim.
-    return good, cut(ordinal(slim, ["source"], day, ["last_sync_at", "sync_id"]).drop("last_sync_at"))
-
-
 def _changed(spark: SparkSession, folder: str) -> DataFrame:
-    good, order = _numbered(spark, folder)
+    good = good_syncs(spark, folder).withColumnRenamed("source_id", "source")
+    day = F.floor(rfc3339_seconds(F.col("last_sync_at")) / DAY)
+    # Three readers: written once, as it is slim. The ordinals run by last_sync_at.
+    numbered = cut(ordinal(good, ["source"], day, ["last_sync_at", "sync_id"]).select("sync_id", "source", "ordinal", "delivered_at", "revisions"))
+    # The lists are read where they lie: of a sync's rows the one that counts is found again by time and hash.
+    lists = table(spark, folder, "source_states").select("sync_id", F.col("delivered_at").alias("at"), "active_revisions")
+    same = F.col("at").eqNullSafe(F.col("delivered_at")) & (F.xxhash64("active_revisions") == F.col("revisions"))
     named = (
-        good.select("sync_id", F.explode("active_revisions").alias("revision_id"))
-        .join(order, "sync_id")
+        lists.join(numbered, "sync_id")
+        .where(same)
+        .select("source", "ordinal", F.explode("active_revisions").alias("revision_id"))
         .join(revisions(spark, folder), "revision_id")
     )
-    spans = order.groupBy("source").agg(F.max("ordinal").alias("last_ordinal"))
-    return changes(named, spans).join(order, ["source", "ordinal"])
+    spans = numbered.groupBy("source").agg(F.max("ordinal").alias("last_ordinal"))
+    return changes(named, spans).join(numbered.select("sync_id", "source", "ordinal"), ["source", "ordinal"])
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
