@@ -1,14 +1,15 @@
 """Zones of origins that write wall times, estimated from what the times must agree with.
 
-Each wall time gives bounds: the nearest stated instants before and after it in its sequence, an
-instant that it cannot precede, another spelling of the same moment. For each origin every
-candidate zone, which is a history of offsets, is tried on all its wall times, and the zone that
-breaks the fewest bounds is chosen. A zone declared for the origin is one more bound on each of its
-values, which no number of broken bounds outweighs; it decides for origins that have one, and
-the violations then say how well the declaration fits.
+Each wall time gives bounds: the nearest stated instants before and after it in its sequence, or
+another spelling of the same moment. For each origin every candidate zone, which is a history of
+offsets, is tried on all its bounded wall times, and the zone that breaks the fewest bounds is
+chosen. A zone declared for the origin decides between zones that break as few.
+
+A wall time that stands out of its sequence by months breaks a bound in every zone, so the zone
+chosen may break some as well.
 
 Scale: candidates come from a small table that does not grow, so the work is a constant times the
-wall times and is combined on the map side; sequences of any length are scanned in buckets.
+bounded wall times and is combined on the map side; sequences of any length are scanned in buckets.
 """
 
 from __future__ import annotations
@@ -25,35 +26,37 @@ SLACK_US = 60_000_000
 
 
 def estimate(walls: DataFrame, candidates: Sequence[str]) -> DataFrame:
-    """(origin, zone_name, n_values, n_violations, declared): the zone chosen for each origin.
+    """(origin, zone_name, n_bounded, n_violations, declared, declared_violations, undeclared_zone): the zone chosen for each origin.
 
     walls: (origin, local_us, at_least, at_most, declared), bounds in microseconds or null; declared
     is the zone declared for the origin or null. A null origin is an origin of its own. Ties go to the
-    declared zone, then to the first name. An origin without wall times is not in the result.
+    declared zone, then to the first name; undeclared_zone is the choice without that. An origin
+    without bounded wall times is not in the result.
     """
-    tried = walls.withColumn("zone_name", F.explode(F.array(*[F.lit(z) for z in candidates])))
+    tried = walls.where("at_least is not null or at_most is not null").withColumn("zone_name", F.explode(F.array(*[F.lit(z) for z in candidates])))
     broken = lambda x: F.coalesce(x, F.lit(False)).cast("int")
     by_zone = (
         with_place(tried, F.col("local_us"), F.col("zone_name"), "p")
         .withColumn("utc", F.col("p.utc_us"))
         .groupBy("origin", "zone_name")
         .agg(
-            F.count(F.lit(1)).alias("n_values"),
+            F.count(F.lit(1)).alias("n_bounded"),
             F.sum(
                 broken(F.col("utc") < F.col("at_least") - SLACK_US) + broken(F.col("utc") > F.col("at_most") + SLACK_US)
             ).alias("n_violations"),
-            F.sum(broken(F.col("zone_name") != F.col("declared"))).alias("n_undeclared"),
             F.max("declared").alias("declared"),
         )
+        .withColumn("other", F.coalesce(F.col("zone_name") != F.col("declared"), F.lit(True)))
     )
-    rank = F.struct("n_undeclared", "n_violations", "zone_name")
+    chosen = F.struct("zone_name", "n_bounded", "n_violations", "declared")
     return (
         by_zone.groupBy("origin")
         .agg(
-            F.min_by(F.struct("zone_name", "n_values", "n_violations", "declared"), rank).alias("b"),
-            F.min("n_violations").alias("fewest_violations"),
+            F.min_by(chosen, F.struct("n_violations", "other", "zone_name")).alias("b"),
+            F.max(F.when(~F.col("other"), F.col("n_violations"))).alias("declared_violations"),
+            F.min_by("zone_name", F.struct("n_violations", "zone_name")).alias("undeclared_zone"),
         )
-        .select("origin", "b.*", "fewest_violations")
+        .select("origin", "b.*", "declared_violations", "undeclared_zone")
     )
 
 

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.functions.instants import rfc3339
 from anamnesis.functions.timestamps import with_place, with_reading
 from anamnesis.operators.clock_zones import abbreviations, estimate
 from anamnesis.operators.ordered import neighbours
@@ -56,18 +55,15 @@ def _values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     met = once.join(bound, "record_id")
     log = table(spark, folder, "control_records").where("record_sha256 is not null")
     records = (
-        log.select("record_sha256", "origin", "timestamp_text", "store_id", "sequence", "target_created_at")
+        log.select("record_sha256", "origin", "timestamp_text", "store_id", "sequence")
         .groupBy("record_sha256")
-        .agg(F.min(F.struct("store_id", "sequence", "origin", "timestamp_text", "target_created_at")).alias("x"))
-        .select(F.lit("control").alias("record_kind"), F.col("record_sha256").alias("record_id"), "x.origin", F.col("x.timestamp_text").alias("said"), "x.store_id", "x.sequence", "x.target_created_at")
+        .agg(F.min(F.struct("store_id", "sequence", "origin", "timestamp_text")).alias("x"))
+        .select(F.lit("control").alias("record_kind"), F.col("record_sha256").alias("record_id"), "x.origin", F.col("x.timestamp_text").alias("said"), "x.store_id", "x.sequence")
     )
     chain = neighbours(
         _tagged(records, profiles), ["store_id"], F.floor(F.col("sequence") / RUN), ["sequence", "record_id"], _stated()
     )
-    made = rfc3339(F.col("target_created_at"))
-    chain = chain.withColumn("at_least", F.greatest("value_before", made["sec"] * 1_000_000 + F.floor(made["nano"] / 1000))).withColumn(
-        "at_most", F.col("value_after")
-    )
+    chain = chain.withColumnRenamed("value_before", "at_least").withColumnRenamed("value_after", "at_most")
     columns = [*_TAGGED, "declared", "r", "at_least", "at_most"]
     # Read once, used twice; and no filter on r is pushed into the patterns, which would multiply them.
     return cut(reduce(DataFrame.unionByName, [x.select(columns) for x in (asked, met, chain)])).where("r is not null"), profiles
@@ -108,7 +104,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_zone_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """The chosen zone of each origin, and how many bounds it and the best fitting zone break."""
+    """The chosen zone of each origin, how many bounds it and the declared zone break, and the choice without a declared one."""
     values, profiles = _values(spark, folder)
     return zone_estimates(values, _zones(profiles))
 

@@ -77,5 +77,10 @@ def test_zone_is_estimated_from_order(spark):
     got = estimate(df, ["UTC", "Europe/Berlin", "Asia/Tokyo", "America/New_York"]).first()
     assert (got.zone_name, got.n_violations) == ("Europe/Berlin", 0)
     told = estimate(df.withColumn("declared", F.lit("UTC")), ["UTC", "Europe/Berlin"]).first()
-    assert told.zone_name == "UTC" and told.n_violations > 0 and told.fewest_violations == 0
+    assert (told.zone_name, told.n_violations, told.undeclared_zone) == ("Europe/Berlin", 0, "Europe/Berlin") and told.declared_violations > 0
+    # Two zones that fit alike: the declared one counts.
+    alike = df.where("month(timestamp_micros(local_us)) = 1").withColumn("declared", F.lit("Europe/Paris"))
+    tie = estimate(alike, ["Europe/Berlin", "Europe/Paris"]).first()
+    assert (tie.zone_name, tie.undeclared_zone) == ("Europe/Paris", "Europe/Berlin")
     assert estimate(df.limit(0), ["UTC"]).count() == 0
+    assert estimate(df.withColumn("at_least", F.lit(None).cast("long")).withColumn("at_most", F.lit(None).cast("long")), ["UTC"]).count() == 0
