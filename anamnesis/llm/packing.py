@@ -3,9 +3,11 @@
 Every partition packs what it reads, in one pass and without a shuffle: it keeps OPEN windows per
 kind of container, puts an item into the window that it leaves the least space in, and if none has
 room gives out the fullest window and opens another. What is still open at the end of a partition is
-merged: those windows are items themselves, at most OPEN per partition and kind, and are packed again,
-largest first, in ever fewer tasks. Only an item over the capacity is parted, into
-full containers and one rest.
+merged: those windows are items themselves, at most OPEN per partition and kind. The windows of FAN
+partitions are packed again, largest first, in one task; its OPEN emptiest windows go on to the next
+level, where FAN such tasks meet, and all others are given out. So no task ever merges more than
+FAN * OPEN windows of a kind, however many partitions there are. Only an item over the capacity is
+parted, into full containers and one rest.
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.tokens import RANKS, count
-from anamnesis.session import cut, spread
+from anamnesis.session import cut
 
-OPEN = 128
-#: Most open windows that one task merges.
-MERGED_BY_TASK = 100_000
+OPEN, FAN = 128, 64
 
 PLACED = (
     "container_kind string, capacity long, container_id string, item_id long, part_no int, "
-    "token_start long, n_tokens long, is_open boolean"
+    "token_start long, n_tokens long, is_open boolean, task long"
 )
+#: A window (id) and the one it went into; that one's use, and whether it goes on to the next level.
+MERGED = "container_kind string, capacity long, id string, into string, used long, is_open boolean, task long"
 _NAMES = [x.split()[0] for x in PLACED.split(", ")]
 
 
@@ -73,7 +75,7 @@ def _place(kinds: Sequence[tuple[str, int]], ranks: str, most_open: int):
 
         def give(kind: str, capacity: int, closed: list, is_open: bool) -> None:
             for window, items in closed:
-                out.extend((kind, capacity, f"{task}-{window}", *item, is_open) for item in items)
+                out.extend((kind, capacity, f"{task}-{window}", *item, is_open, task) for item in items)
 
         for b in batches:
             for item, text in zip(b["item_id"].tolist(), b["text"].tolist()):
@@ -92,17 +94,20 @@ def _place(kinds: Sequence[tuple[str, int]], ranks: str, most_open: int):
     return rows
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pack windows (container_kind, capacity, id, used) again, largest first; (container_kind, id, into)."""
-    held = pd.concat(list(batches), ignore_index=True)  # at most about MERGED_BY_TASK rows
-    held = held.sort_values(["used", "id"], ascending=[False, True])
-    for (kind, capacity), g in held.groupby(["container_kind", "capacity"], sort=False):
-        packer, out = Packer(int(capacity), len(g)), []
-        give = lambda closed: out.extend((kind, x, f"m-{items[0]}") for _, items in closed for x in items)  # noqa: B023, E731
-        for used, x in zip(g["used"].tolist(), g["id"].tolist()):
-            give(packer.put(int(used), x))
-        give(packer.rest())
-        yield pd.DataFrame(out, columns=["container_kind", "id", "into"])
+def _merge(most_open: int):
+    def packed(held: pd.DataFrame) -> pd.DataFrame:
+        """Pack windows (container_kind, capacity, id, used, task) of one kind again, largest first."""
+        held = held.sort_values(["used", "id"], ascending=[False, True])
+        kind, capacity, task = held["container_kind"].iat[0], int(held["capacity"].iat[0]), int(held["task"].iat[0])
+        packer, windows = Packer(capacity, len(held)), []
+        for used, x in zip(held["used"].tolist(), held["id"].tolist()):
+            windows += packer.put(int(used), (x, int(used)))
+        windows = [(sum(u for _, u in items), [x for x, _ in items]) for _, items in [*windows, *packer.rest()]]
+        windows.sort(key=lambda w: (w[0], w[1][0]))
+        out = [(kind, capacity, x, f"m-{ids[0]}", used, i < most_open and used < capacity, task) for i, (used, ids) in enumerate(windows) for x in ids]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in MERGED.split(", ")])
+
+    return packed
 
 
 def pack(texts: DataFrame, kinds: Sequence[tuple[str, int]], ranks: str = RANKS, most_open: int = OPEN) -> DataFrame:
@@ -111,37 +116,27 @@ def pack(texts: DataFrame, kinds: Sequence[tuple[str, int]], ranks: str = RANKS,
     texts: (item_id, text). A null or empty text has no tokens and is placed nowhere; repeated ids
     are placed each time. kinds: (name, capacity in tokens), a small list. No kinds or no texts give no rows.
     """
-    placed = cut(spread(texts.select("item_id", "text"), "item_id").mapInPandas(_place(list(kinds), ranks, most_open), PLACED))
-    left = (
-        placed.where("is_open")
-        .groupBy("container_kind", "capacity", F.col("container_id").alias("id"))
-        .agg(F.sum("n_tokens").alias("used"))
-    )
-    moved, tasks = None, max(1, -(-left.count() // MERGED_BY_TASK))
+    placed = cut(texts.select("item_id", "text").mapInPandas(_place(list(kinds), ranks, most_open), PLACED))
+    open_ = placed.where("is_open")
+    left = open_.groupBy("container_kind", "capacity", F.col("container_id").alias("id"), "task").agg(F.sum("n_tokens").alias("used"))
+    tasks = (left.agg(F.max("task")).first()[0] or 0) + 1
+    moved = None
     while True:
-        step = cut(
-            left.repartition(tasks, "id").mapInPandas(_merge, "container_kind string, id string, into string")
-            if tasks > 1
-            else left.coalesce(1).mapInPandas(_merge, "container_kind string, id string, into string")
-        )
+        tasks = -(-tasks // FAN)
+        met = left.withColumn("task", F.floor(F.col("task") / FAN))
+        step = cut(met.groupBy("container_kind", "capacity", "task").applyInPandas(_merge(most_open), MERGED))
         if moved is None:
-            moved = step
+            moved = step.select("container_kind", "id", "into")
         else:
             again = step.select("container_kind", F.col("id").alias("into"), F.col("into").alias("last"))
-            moved = moved.join(again, ["container_kind", "into"]).select("container_kind", "id", F.col("last").alias("into"))
+            moved = moved.join(again, ["container_kind", "into"], "left").select("container_kind", "id", F.coalesce("last", "into").alias("into"))
         if tasks == 1:
             break
-        left = (
-            left.join(step, ["container_kind", "id"])
-            .groupBy("container_kind", "capacity", F.col("into").alias("id"))
-            .agg(F.sum("used").alias("used"))
-        )
-        tasks = max(1, tasks // 8)
-    columns = [c for c in _NAMES if c != "is_open"]
+        left = step.where("is_open").select("container_kind", "capacity", F.col("into").alias("id"), "task", "used").distinct()
+    columns = [c for c in _NAMES if c not in ("is_open", "task")]
     done = placed.where("not is_open").select(columns)
     merged = (
-        placed.where("is_open")
-        .withColumnRenamed("container_id", "id")
+        open_.withColumnRenamed("container_id", "id")
         .join(moved, ["container_kind", "id"])
         .withColumnRenamed("into", "container_id")
         .select(columns)

@@ -26,9 +26,33 @@ def test_tokenizer_round_trip():
     assert tokens.encoding().decode(ids) == text and tokens.count(text) == len(ids) and tokens.count(None) == tokens.count("") == 0
 
 
-@pytest.mark.parametrize("by_task", [100_000, 3])
-def test_frame(spark, monkeypatch, by_task):
-    monkeypatch.setattr(packing, "MERGED_BY_TASK", by_task)
+def test_many_partitions_merge_in_small_tasks_and_stay_full(spark, monkeypatch):
+    """96 partitions over three levels: no merge takes more than FAN * OPEN windows, and little space is left."""
+    monkeypatch.setattr(packing, "FAN", 4)
+    taken, held = [], packing.cut
+
+    def watched(df):
+        df = held(df)
+        if "into" in df.columns:
+            taken.append(df.groupBy("container_kind", "task").count().agg(F.max("count"), F.count(F.lit(1))).first())
+        return df
+
+    monkeypatch.setattr(packing, "cut", watched)
+    rng = random.Random(8)
+    rows = [(i, "word " * rng.choice([1, 3, 9, 20, 33, 50, 63])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "item_id long, text string").repartition(96)
+    got = pack(df, [("k", 64)], most_open=8).groupBy("container_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert len(taken) == 4 and all(most <= 4 * 8 for most, _ in taken) and [n for _, n in taken] == [24, 6, 2, 1]
+    total = sum(tokens.count(t) for _, t in rows)
+    assert sum(r.n for r in got) == total and max(r.n for r in got) <= 64
+    whole = Packer(64, len(rows))  # all items at once, largest first
+    n_whole = sum(len(whole.put(n, n)) for n in sorted((tokens.count(t) for _, t in rows), reverse=True)) + len(whole.rest())
+    assert len(got) <= 1.06 * n_whole
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_frame(spark, monkeypatch, fan):
+    monkeypatch.setattr(packing, "FAN", fan)
     rng = random.Random(4)
     rows = [(i, " ".join(["word"] * rng.randint(1, 60)), "clash") for i in range(80)] + [(90, None, "x"), (91, "", "x"), (92, "long " * 700, "x"), (5, "word word", "again")]
     df = spark.createDataFrame(rows, "item_id long, text string, container_id string").repartition(4)
