@@ -1,18 +1,20 @@
 """A mix of sources with target shares of the total size, by soft membership.
 
-A text of a known source belongs to it; one without a source belongs to every source by the posterior
-of a classifier that is trained on the labelled texts. Each distinct text i has a size t, a
+Every text belongs to the sources by the posterior of a classifier that is trained on labelled texts;
+a stored source is evidence for it, right with probability TRUST, and not the whole of it. A text
+without one has the classifier's posterior alone. Each distinct text i has a size t, a
 membership m over the sources and a rate r, how often it is taken, from 0 to its cap. The rates
 minimise the squared distance between the expected totals, sum of r t m, and the targets, by projected
 gradient steps: r <- clip(r - m . G^-1 (totals - targets)), where G = sum of t m m' scales the step.
 A step is one aggregation of as many sums as there are sources; rates are never stored, as the few
 numbers of each step say how every rate came about. Rates are then rounded to whole copies and
 what the rounding missed is made up for by texts drawn by their hash.
+
+A text's features are the counts of its tokens and of pairs of them, of the tokenizer that also sizes it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,32 +22,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anamnesis.llm.tokens import RANKS, count
+from anamnesis.llm.tokens import RANKS, encoding
 from anamnesis.session import cut, spread
 
 #: Bound of the classifier's training sample.
 TEXTS_PER_SOURCE = 250
 FEATURES = 4096
 EPOCHS = 60
+#: How likely a stored source is the right one, before the text is looked at.
+TRUST = 0.999
+#: Texts whose features a task holds at once.
+HELD = 512
 #: Most gradient steps, and the relative distance at which they end.
 STEPS, NEAR = 30, 1e-9
 #: Rounds that make up for rounding: by drawn texts, then by single ones.
 REPAIRS, SINGLES = 5, 6
 
-_TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]|\n")
-
-
-def features(text: str) -> np.ndarray:
-    """Hashed words, marks and pairs of them as a normed vector of square roots of counts."""
-    import xxhash
 
-    got = np.zeros(FEATURES, np.float32)
-    before = ""
-    for w in _TOKEN.findall(text.lower()):
-        got[xxhash.xxh32_intdigest(w) % FEATURES] += 1
-        got[xxhash.xxh32_intdigest(before + "\0" + w) % FEATURES] += 1
-        before = w
-    got = np.sqrt(got)
+def features(ids: Sequence[int]) -> np.ndarray:
+    """Hashed token ids and pairs of neighbours as a normed vector of square roots of counts."""
+    a = np.asarray(ids, np.int64)
+    pairs = (a[:-1] * 1_000_003 + a[1:] * 7919 + 1) % 2_147_483_647
+    got = np.sqrt(np.bincount(np.concatenate((a, pairs)) % FEATURES, minlength=FEATURES)).astype(np.float32)
     return got / max(1e-9, float(np.linalg.norm(got)))
 
 
@@ -55,13 +53,13 @@ def _posterior(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def train(sample: list[tuple[str, str]], classes: Sequence[str]) -> np.ndarray:
+def train(sample: list[tuple[str, str]], classes: Sequence[str], ranks: str = RANKS) -> np.ndarray:
     """Weights of a softmax regression, fitted with equal weight for each class; no sample gives even posteriors."""
     weights = np.zeros((FEATURES + 1, len(classes)), np.float32)
     sample = sorted(s for s in sample if s[1] in classes)
     if not sample:
         return weights
-    x = np.stack([features(t) for t, _ in sample])
+    x = np.stack([features(encoding(ranks).encode_ordinary(t)) for t, _ in sample])
     y = np.array([list(classes).index(c) for _, c in sample])
     share = 1 / np.maximum(1, np.bincount(y, minlength=len(classes)))[y]
     share = (share / share.sum())[:, None]
@@ -75,35 +73,41 @@ def train(sample: list[tuple[str, str]], classes: Sequence[str]) -> np.ndarray:
     return weights
 
 
-def fit(texts: DataFrame, classes: Sequence[str]) -> np.ndarray:
+def fit(texts: DataFrame, classes: Sequence[str], ranks: str = RANKS) -> np.ndarray:
     """Train on TEXTS_PER_SOURCE labelled texts of each class, by the hash of the id. texts: (item_id, text, source)."""
     labelled = texts.where(F.col("source").isin(list(classes)) & (F.char_length("text") > 0))
     w = Window.partitionBy("source").orderBy(F.xxhash64("item_id"), "item_id")
     ids = labelled.select("item_id", "source").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TEXTS_PER_SOURCE)
     # At most TEXTS_PER_SOURCE ids of each class: small enough to broadcast, so no text is shuffled.
     rows = labelled.join(F.broadcast(ids.select("item_id")), "item_id", "left_semi").select("text", "source").collect()
-    return train([(r[0], r[1]) for r in rows], classes)
+    return train([(r[0], r[1]) for r in rows], classes, ranks)
 
 
 def members(texts: DataFrame, classes: Sequence[str], weights: np.ndarray, ranks: str = RANKS) -> DataFrame:
     """(item_id, source, n_tokens, m) of every distinct text that has tokens.
 
-    m is the membership over the classes, of one sum or less: a text of an unlisted source has none.
+    m is the membership over the classes; its sum is one, but a text of an unlisted source has none.
     Of equal texts the one with a source, then with the least id, stands for all. Null and empty
     texts are left out; other columns are ignored; empty input gives no rows.
     """
-    at = {c: i for i, c in enumerate(classes)}
+    at, k = {c: i for i, c in enumerate(classes)}, len(classes)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sizes, m = [], []
-            for text, source in zip(b["text"], b["source"]):
-                sizes.append(count(text, ranks))
-                if source is None or source != source:
-                    m.append(_posterior(features(text)[None], weights)[0].astype(float).tolist())
-                else:
-                    m.append([1.0 if at.get(source) == i else 0.0 for i in range(len(classes))])
-            yield pd.DataFrame({"text_key": b["text_key"], "item_id": b["item_id"], "source": b["source"], "n_tokens": sizes, "m": m})
+            for i in range(0, len(b), HELD):
+                part = b.iloc[i : i + HELD]
+                ids = [encoding(ranks).encode_ordinary(t) for t in part["text"]]
+                m = _posterior(np.stack([features(x) for x in ids]), weights).astype(float)
+                for row, source in zip(m, part["source"]):
+                    if source is None or source != source:
+                        continue
+                    row *= np.full(k, (1 - TRUST) / max(1, k - 1))
+                    if source in at:
+                        row[at[source]] *= TRUST * max(1, k - 1) / (1 - TRUST)
+                        row /= row.sum()
+                    else:
+                        row[:] = 0
+                yield pd.DataFrame({"text_key": part["text_key"], "item_id": part["item_id"], "source": part["source"], "n_tokens": [len(x) for x in ids], "m": m.tolist()})
 
     # Sized where they are read: what is shuffled to fold equal texts is their hash, never a text.
     sized = (

@@ -159,7 +159,8 @@ def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], np.n
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), "text", "source").where("doc_id is not null")
     held = mixing.members(docs, classes, mixing.fit(docs, classes))
     # A text without a source may be repeated as often as its likeliest source allows.
-    top = F.array_position("m", F.array_max("m")).cast("int")
+    stored = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("source"))
+    top = F.coalesce(stored, F.array_position("m", F.array_max("m"))).cast("int")
     cap = F.when(F.array_max("m") > 0, F.element_at(F.array(*[F.lit(c) for c in caps]), top)).otherwise(0)
     taken, target = mixing.mix(cut(held.withColumn("cap", cap)), shares)
     return taken, classes, shares, target, caps
@@ -172,22 +173,27 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and reached share of every source, with the soft members' parts, and its most repeated text."""
+    """Target and reached share of every source: by expected membership, and by the stored source, else the likeliest one."""
     taken, classes, shares, _, caps = _mixed(spark, folder)
-    name = F.array(*[F.lit(c) for c in classes])
+    name, size = F.array(*[F.lit(c) for c in classes]), F.col("copies") * F.col("n_tokens")
+    stored = F.coalesce(F.array_position(name, F.col("source")), F.array_position("m", F.array_max("m"))) - 1
     by = (
         taken.where("copies > 0")
-        .select("copies", "n_tokens", F.posexplode("m").alias("i", "p"))
-        .where("p > 0")
+        .select("copies", stored.alias("stored"), size.alias("size"), F.posexplode("m").alias("i", "p"))
         .groupBy("i")
-        .agg(F.sum(F.col("copies") * F.col("n_tokens") * F.col("p")).alias("tokens"), F.max(F.when(F.col("p") >= 0.5, F.col("copies"))).alias("most_copies"))
+        .agg(
+            F.sum(F.col("size") * F.col("p")).alias("tokens"),
+            F.coalesce(F.sum(F.when(F.col("stored") == F.col("i"), F.col("size"))), F.lit(0)).alias("stored_tokens"),
+            F.max(F.when(F.col("stored") == F.col("i"), F.col("copies"))).alias("most_copies"),
+        )
     )
-    all_of = by.agg(F.sum("tokens").alias("total"))
+    all_of = by.agg(F.sum("tokens").alias("total"), F.sum("stored_tokens").alias("stored_total"))
     at = (F.col("i") + 1).cast("int")
     return by.join(all_of).select(
         F.element_at(name, at).alias("source"),
         F.element_at(F.array(*[F.lit(float(x)) for x in shares]), at).alias("target_share"),
         F.round(F.col("tokens") / F.col("total"), 6).alias("reached_share"),
+        F.round(F.try_divide("stored_tokens", "stored_total"), 6).alias("stored_share"),
         F.round("tokens").cast("long").alias("n_tokens"),
         "most_copies",
         F.element_at(F.array(*[F.lit(c) for c in caps]), at).alias("max_repeats"),

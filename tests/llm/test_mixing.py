@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from anamnesis.llm import mixing
+from anamnesis.llm.tokens import encoding
 
 
 def test_classifier_tells_held_out_texts_apart():
@@ -10,9 +12,10 @@ def test_classifier_tells_held_out_texts_apart():
     words = {"log": "error trace panic stack retry".split(), "memo": "dear team minutes agenda lunch".split()}
     make = lambda c: " ".join(rng.choice(words[c] + ["the", "a", "of"]) for _ in range(30))
     w = mixing.train([(make(c), c) for c in words for _ in range(40)] + [("x", "unknown")], list(words))
-    p = mixing._posterior(np.stack([mixing.features(make(c)) for c in words for _ in range(20)]), w)
+    ids = lambda t: encoding().encode_ordinary(t)
+    p = mixing._posterior(np.stack([mixing.features(ids(make(c))) for c in words for _ in range(20)]), w)
     assert (p.argmax(1) == np.repeat([0, 1], 20)).mean() > 0.95
-    assert np.allclose(mixing._posterior(np.stack([mixing.features("")]), mixing.train([], ["a", "b"])), 0.5)
+    assert np.allclose(mixing._posterior(np.stack([mixing.features([])]), mixing.train([], ["a", "b"])), 0.5)
 
 
 def frame(spark, rows):
@@ -46,5 +49,14 @@ def test_members_fold_copies_and_keep_unlabelled(spark):
     rows = [(1, "same text", None), (2, "same text", "a"), (3, "other", "z"), (4, None, "a"), (5, "", "a"), (6, "free", None)]
     df = spark.createDataFrame(rows, "item_id long, text string, source string")
     got = {r.item_id: (r.source, r.m) for r in mixing.members(df, ["a", "b"], mixing.train([], ["a", "b"])).collect()}
-    assert got == {2: ("a", [1.0, 0.0]), 3: ("z", [0.0, 0.0]), 6: (None, [0.5, 0.5])}
+    # Without training the stored source is all the evidence there is.
+    assert set(got) == {2, 3, 6} and got[2][1] == pytest.approx([0.999, 0.001]) and got[3] == ("z", [0.0, 0.0]) and got[6] == (None, [0.5, 0.5])
     assert mixing.members(df.limit(0), ["a"], mixing.train([], ["a"])).count() == 0
+
+
+def test_a_stored_source_is_evidence_and_not_all_of_it(spark):
+    sample = [("error trace panic stack retry", "log")] * 20 + [("dear team minutes agenda lunch", "memo")] * 20
+    w = mixing.train(sample, ["log", "memo"])
+    df = spark.createDataFrame([(1, "error trace panic stack retry", "log"), (2, "error trace panic stack retry again", "memo"), (3, "error trace panic stack", None)], "item_id long, text string, source string")
+    m = {r.item_id: r.m for r in mixing.members(df, ["log", "memo"], w).collect()}
+    assert m[1][0] > 0.999 > m[2][1] and m[3][0] > 0.8 and all(sum(x) == pytest.approx(1) for x in m.values())
