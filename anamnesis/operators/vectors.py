@@ -1,12 +1,14 @@
 """Vectors: norms, pools and exact nearest neighbours in blocks.
 
-Search deals the rows out to blocks and sends every block the queries; a block multiplies two
-matrices and gives out only its k best per query, so what is shuffled is queries x blocks, never
-pairs. Vectors are widened to double before products.
+Search deals rows and queries out to blocks of about BLOCK vectors, whatever their numbers; a pair of
+blocks multiplies two matrices and gives out only its k best per query, so what is shuffled is vectors
+x blocks of the other side, never pairs. Vectors are widened to double before products.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 from anamnesis.session import width
 
+#: Vectors of a side, about, that a task of the search holds at once.
+BLOCK = 8192
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -42,9 +47,12 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     queries: (id, vector), rows: (id, vector), unit vectors of one dimension. Ties go to the smaller id.
     """
-    blocks = width(rows.sparkSession)
-    held = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vector")
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "id", "vector")
+    row_blocks = max(width(rows.sparkSession), math.ceil(rows.count() / BLOCK))
+    query_blocks = max(1, math.ceil(queries.count() / BLOCK))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    held = rows.select(mine(row_blocks).alias("rows_of"), every(query_blocks).alias("queries_of"), "id", "vector")
+    asked = queries.select(every(row_blocks).alias("_r"), mine(query_blocks).alias("_q"), "id", "vector")
 
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "row_id", "similarity"]
@@ -62,6 +70,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 out += [(qid, ids[j], s[i, j]) for j in take[i] if np.isfinite(s[i, j])]
         return pd.DataFrame(out, columns=names)
 
-    got = asked.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(best, "query_id long, row_id long, similarity double")
+    got = asked.groupBy("_r", "_q").cogroup(held.groupBy("rows_of", "queries_of")).applyInPandas(best, "query_id long, row_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

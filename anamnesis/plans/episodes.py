@@ -127,7 +127,7 @@ def p5_gap_audit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_EVENTS = r"""
+EVENTS_ = r"""
   e as (
     select event_id, min(session_id) session_id, min(profile_id) profile_id, min(sequence) seq, min(us) us from (
       select *, epoch_us(try_cast(created_at as timestamptz)) us from boundary_inputs
@@ -137,7 +137,7 @@ _EVENTS = r"""
   g as (
     select e.*, coalesce(lim, 1800) lim, lag(us) over w prev, (us - lag(us) over w) // 1000000 gap
     from e left join lim using (profile_id) window w as (partition by session_id order by us, seq, event_id))"""
-_RUNS = """,
+RUNS_ = """
   r as (select *, sum(case when gap is null or gap > {lim} then 1 else 0 end) over (partition by session_id order by us, seq, event_id) run from g)"""
 
 QUERIES = {
@@ -147,17 +147,17 @@ QUERIES = {
     "p5_gap_audit": p5_gap_audit,
 }
 ORACLES = {
-    "p5_found": f"with {_EVENTS} {_RUNS.format(lim='lim')} "
+    "p5_found": f"with {EVENTS_}, {RUNS_.format(lim='lim')} "
     "select session_id, arg_min(event_id, (us, seq, event_id)) start_event_id, arg_max(event_id, (us, seq, event_id)) end_event_id from r group by session_id, run",
-    "p5_sessions": f"with {_EVENTS} {_RUNS.format(lim='lim')} "
+    "p5_sessions": f"with {EVENTS_}, {RUNS_.format(lim='lim')} "
     "select session_id, arg_min(event_id, (us, seq, event_id)) start_event_id, arg_max(event_id, (us, seq, event_id)) end_event_id, "
     "min(us) start_us, max(us) end_us, (max(us) - min(us)) // 1000000 duration_s, count(*) n_events from r group by session_id, run",
-    "p5_gap_settings": f"with {_EVENTS}, "
+    "p5_gap_settings": f"with {EVENTS_}, "
     + f"s as (select unnest({list(SETTINGS)}) m), "
     + "r as (select m, session_id, us, sum(case when gap is null or gap > m * 60 then 1 else 0 end) over (partition by m, session_id order by us, seq, event_id) run from g, s), "
     + "k as (select m, session_id, run, count(*) n from r group by all) "
     + "select m::bigint gap_minutes, count(*) n_episodes, sum(n)::bigint n_events, max(n) largest from k group by 1",
-    "p5_gap_audit": f"with {_EVENTS}, "
+    "p5_gap_audit": f"with {EVENTS_}, "
     "k as (select event_id, max(created_at) said from boundary_inputs where event_id is not null group by 1), "
     "d as (select distinct before_event_id event_id, gap recorded_gap from boundary_decisions), "
     "j as (select d.*, case when g.event_id is not null and gap is null then 'first_message' when gap > lim then 'greater_than_threshold' "

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anamnesis.functions.text import tokens
+from anamnesis.functions.text import CJK, tokens
 from anamnesis.operators import graph, lexical, turns, vectors
 from anamnesis.operators.ordered import neighbours, ordinal
 from anamnesis.operators.sessions import cut_tree
 from anamnesis.plans.conversation import M_
+from anamnesis.plans.episodes import EVENTS_, RUNS_
 from anamnesis.session import cut, spread
 from anamnesis.sources.tables import table
 
-TOP, MAX_SHARE, NEIGHBOURS, LEAST_COSINE = 10, 0.1, 5, 0.30
-#: MAX_SHARE and ROUNDS are those of the stored SQL alone: BM25 scores every term, PageRank runs until it converges.
-ROUNDS = 4
+#: The reference's limit of lexical and vector candidates, and of neighbours of a vector.
+TOP, NEIGHBOURS, LEAST_COSINE = 64, 5, 0.30
 KINDS = ("reply", "adjacent", "shared_entity", "keyword", "mutual_topk", "episode_member", "replacement")
 CUTOFF = "2024-09-01"
 
@@ -39,31 +39,21 @@ def term_df(s, d):
 
 def kb_bm25(s, d):
     """The best documents of every evaluation question."""
-    posted = lexical.postings(spread(_documents(s, d), "doc_id"), "doc_id", "text")
-    return lexical.bm25(posted, lexical.sizes(_documents(s, d), "text"), _terms(_questions(s, d)), "doc_id", TOP)
-
-
-def _user_messages(s, d):
-    return turns.messages(table(s, d, "turns")).where("role = 'user'").select("event_id", "content")
+    return lexical.bm25(_documents(s, d), _terms(_questions(s, d)), "doc_id", "text", TOP)
 
 
 def conv_bm25(s, d):
-    """The best user messages of every evaluation question."""
-    posted = lexical.postings(_user_messages(s, d), "event_id", "content")
-    return lexical.bm25(posted, lexical.sizes(_user_messages(s, d), "content"), _terms(_questions(s, d)), "event_id", TOP)
+    """The best messages, of either role, of every evaluation question."""
+    return lexical.bm25(turns.messages(table(s, d, "turns")), _terms(_questions(s, d)), "event_id", "content", TOP)
 
 
 def _titles(s, d):
-    t = _documents(s, d).where("title is not null").select("doc_id", F.explode(F.array_distinct(tokens(F.col("title")))).alias("term"))
-    q = _terms(_questions(s, d))
-    m = q.join(t, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")
-    return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).select("query_id", "doc_id", "rank")
+    return lexical.bm25(_documents(s, d), _terms(_questions(s, d)), "doc_id", "title", TOP)
 
 
 def _channels(s, d):
     text = kb_bm25(s, d).select("query_id", "doc_id", "rank", F.lit("text").alias("channel"))
-    return text.unionByName(_titles(s, d).withColumn("channel", F.lit("title")))
+    return text.unionByName(_titles(s, d).select("query_id", "doc_id", "rank", F.lit("title").alias("channel")))
 
 
 def rrf(s, d):
@@ -82,7 +72,7 @@ def channel_status(s, d):
 
 def seed_mass(s, d):
     """Each candidate's share of its question's mass: 1/rank within its channel, channels equal."""
-    c = _channels(s, d)
+    c = cut(_channels(s, d))  # two readers
     per = Window.partitionBy("query_id", "channel")
     share = (1 / F.col("rank")) / F.sum(1 / F.col("rank")).over(per)
     n = c.groupBy("query_id").agg(F.countDistinct("channel").alias("n_channels"))
@@ -317,45 +307,69 @@ def claim_transitions(s, d):
     return c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_created"), F.count("valid_to").alias("n_replaced"))
 
 
-Q_ = "q as (select id query_id, min(question) q from eval_cases where id is not null and question is not null group by 1), qt as (select distinct query_id, unnest(regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+')) term from q)"
+_CJK = CJK.encode().decode("unicode_escape")
+
+
+def tokens_sql(x: str) -> str:
+    """Words, and 2- and 3-grams of CJK runs; a run of one character is a token."""
+    plain = f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g')"
+    grams = lambda n: f"list_transform(range(1, length(r) - {n} + 2), lambda i: r[i:i + {n} - 1])"
+    runs = f"list_transform(regexp_extract_all({plain}, '[{_CJK}]+'), lambda r: case when length(r) = 1 then [r] else list_concat({grams(2)}, {grams(3)}) end)"
+    return f"list_concat(regexp_extract_all(regexp_replace({plain}, '[{_CJK}]', ' ', 'g'), '[^ ]+'), flatten({runs}))"
+
 
+Q_ = f"q as (select id query_id, min(question) q from eval_cases where id is not null and question is not null group by 1), qt as (select distinct query_id, unnest({tokens_sql('q')}) term from q)"
 
-def _bm25_sql(src: str, key: str) -> str:
+
+def _bm25_sql(src: str, key: str, name: str = "kb") -> str:
+    """Every term of a question; k1 = 1.2, b = 0.75."""
     return f"""
-  tok as (select {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') t from {src}),
-  p as (select {key}, term, count(*) tf, any_value(len) len from (select {key}, len(t) len, unnest(t) term from tok) group by 1, 2),
-  sz as (select count(*) n, avg(len) mean from (select {key}, any_value(len) len from p group by 1)),
-  idf as (select term, ln(1 + (n - df + 0.5) / (df + 0.5)) idf, mean from (select term, count(*) df from p group by 1), sz where df <= greatest(1.0, n * {MAX_SHARE})),
-  sc as (select query_id, {key}, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) score from p join idf using (term) join qt using (term) group by 1, 2),
-  kb as (select query_id, {key}, score, rank from (select *, row_number() over (partition by query_id order by score desc, {key}) rank from sc) where rank <= {TOP})"""
+  {name}t as (select {key}, {tokens_sql('text')} t from {src}),
+  {name}p as (select {key}, term, count(*) tf, any_value(len) len from (select {key}, len(t) len, unnest(t) term from {name}t) group by 1, 2),
+  {name}z as (select count(*) n, avg(len) mean from {name}t, lateral (select len(t) len) where len > 0),
+  {name}i as (select term, ln(1 + (n - df + 0.5) / (df + 0.5)) idf, mean from (select term, count(*) df from {name}p group by 1), {name}z),
+  {name}s as (select query_id, {key}, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) score from {name}p join {name}i using (term) join qt using (term) group by 1, 2),
+  {name} as (select query_id, {key}, score, rank from (select *, row_number() over (partition by query_id order by score desc, {key}) rank from {name}s) where rank <= {TOP})"""
 
 
 KB_ = f"with {Q_}, {_bm25_sql('(select doc_id, text from documents where text is not null)', 'doc_id')}"
-CH_ = KB_ + f""", tt as (select distinct doc_id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) term from documents where title is not null),
-  ti as (select query_id, doc_id, row_number() over (partition by query_id order by count(*) desc, doc_id) rank from qt join tt using (term) group by 1, 2),
-  ch as (select query_id, doc_id, rank, 'text' channel from kb union all select query_id, doc_id, rank, 'title' from ti where rank <= {TOP})"""
+CH_ = KB_ + f""", {_bm25_sql('(select doc_id, title as text from documents where title is not null)', 'doc_id', 'ti')},
+  ch as (select query_id, doc_id, rank, 'text' channel from kb union all select query_id, doc_id, rank, 'title' from ti)"""
 V_ = "v as (select vec_id id, label, embedding::double[] e from embeddings where vec_id is not null and embedding is not null), u as (select id, label, e, sqrt(list_dot_product(e, e)) n, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) u from v)"
 _POOL = V_ + ", f as (select id, label, unnest(range(len(u)))::int pos, unnest(u) x from u), s as (select label, pos, sum({w} * x) x from f group by 1, 2) select label, pos, round(x / sqrt(sum(x * x) over (partition by label)), 6) as value from s"
 E_ = M_ + """,
   en as (select distinct event_id key, unnest(regexp_extract_all(content, '[A-Z][a-z]{4,}')) term from m),
   ek as (select key, term from en join (select term from en group by 1 having count(*) between 2 and 32) using (term)),
   se as (select a.key src, b.key dst, count(*)::double weight from ek a join ek b using (term) where a.key < b.key group by 1, 2)"""
-ED_ = E_ + """,
-  ad as (select event_id src, lead(event_id) over (partition by session_id order by sequence) dst from m where regexp_matches(content, '[\\p{L}\\p{N}\\p{P}\\p{S}]')),
-  re as (select event_id src, lag(event_id) over (partition by session_id order by sequence) dst from m),
-  ed as (select 'reply' kind, src, dst, 1.0::double weight from re where dst is not null union all select 'adjacent', src, dst, 1.0 from ad where dst is not null union all select 'shared_entity', src, dst, weight from se),
-  fo as (select kind, least(src, dst) src, greatest(src, dst) dst, round(sum(weight), 9) weight, count(*) n_parts from ed group by 1, 2, 3)"""
-ST_ = ED_ + """,
-  bo as (select src, dst, sum(weight) weight from (select src, dst, weight from ed union all select dst, src, weight from ed) group by 1, 2),
-  sp as (select src, dst, weight / sum(weight) over (partition by src) p from bo),
-  sd as (select event_id node, 1.0 / count(*) over () mass from m where sequence = 1),
-  r0 as (select node, mass score from sd)"""
-for _i in range(ROUNDS):
-    ST_ += f""",
-  r{_i + 1} as (select coalesce(i.node, s.node) node, 0.5 * coalesce(mass, 0) + 0.5 * coalesce(inn, 0) score from
-    (select dst node, sum(score * p) inn from r{_i} join sp on r{_i}.node = sp.src group by 1) i full join sd s on i.node = s.node)"""
 CL_ = """e as (select *, lag(event_type) over (partition by user_id order by ts, event_id) b from events),
   c as (select event_id, user_id, event_type, ts valid_from, lead(ts) over (partition by user_id order by ts, event_id) valid_to from e where b is null or b <> event_type)"""
+KW_ = f"""
+  kt as (select distinct event_id key, unnest({tokens_sql('content')}) term from m),
+  kk as (select key, term from kt join (select term from kt where length(term) >= 2 group by 1 having count(*) between 2 and 32) using (term)),
+  kz as (select key, count(*) n from kk group by 1),
+  kp as (select a.key src, b.key dst, count(*) n from kk a join kk b using (term) where a.key < b.key group by 1, 2),
+  kw as (select src, dst, round(kp.n / (x.n + y.n - kp.n), 9) weight from kp join kz x on src = x.key join kz y on dst = y.key)"""
+MU_ = f"""
+  vx as (select a.id q, b.id r, round(list_dot_product(a.e, b.e), 6) s from v a join v b on a.id <> b.id),
+  vk as (select * from (select *, row_number() over (partition by q order by s desc, r) n from vx) where n <= {NEIGHBOURS} and s >= {LEAST_COSINE}),
+  mu as (select a.q src, a.r dst, a.s weight from vk a join vk b on a.q = b.r and a.r = b.q where a.q < a.r)"""
+#: Edges between messages; then all kinds, folded.
+ME_ = f"""{E_}, {KW_},
+  ad as (select event_id src, lead(event_id) over (partition by session_id order by sequence) dst from m where regexp_matches(content, '[\\p{{L}}\\p{{N}}\\p{{P}}\\p{{S}}]')),
+  re as (select event_id src, lag(event_id) over (partition by session_id order by sequence) dst from m),
+  me as (select 'reply' kind, src, dst, 1.0::double weight from re where dst is not null union all select 'adjacent', src, dst, 1.0 from ad where dst is not null
+    union all select 'shared_entity', src, dst, weight from se union all select 'keyword', src, dst, weight from kw)"""
+_FOLD = "select kind, least(src, dst) src, greatest(src, dst) dst, round(sum(weight), 9) weight, count(*) n_parts from {} group by 1, 2, 3"
+ED_ = f"""{ME_}, {V_}, {MU_}, {EVENTS_}, {RUNS_.format(lim='lim')}, {CL_.replace('e as (', 'ce as (', 1).replace(' from e where', ' from ce where')},
+  em as (select 'episode:' || first_value(event_id) over (partition by session_id, run order by us, seq, event_id) src, event_id dst from r),
+  rp as (select 'claim:' || event_id src, 'claim:' || lead(event_id) over (partition by user_id order by valid_from, event_id) dst from c),
+  ed as (from me union all select 'mutual_topk', 'vec:' || src, 'vec:' || dst, weight from mu union all select 'episode_member', src, dst, 1.0 from em
+    union all select 'replacement', src, dst, 1.0 from rp where dst is not null),
+  fo as ({_FOLD.format('ed')})"""
+ST_ = ME_ + """,
+  bo as (select src, dst, sum(weight) weight from (select src, dst, weight from me union all select dst, src, weight from me) group by 1, 2),
+  sp as (select src, dst, weight / sum(weight) over (partition by src) p from bo),
+  sd as (select event_id node, 1.0 / count(*) over () mass from m where sequence = 1)"""
 
 QUERIES = {
     f.__name__: f
@@ -366,9 +380,9 @@ QUERIES = {
     )
 }
 ORACLES = {
-    "term_df": "select term, count(distinct doc_id) df from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) term from documents) group by 1",
+    "term_df": f"select term, count(distinct doc_id) df from (select doc_id, unnest({tokens_sql('text')}) term from documents) group by 1",
     "kb_bm25": f"{KB_} select * from kb",
-    "conv_bm25": f"with {M_}, {Q_}, {_bm25_sql('''(select event_id, content as text from m where role = 'user')''', 'event_id')} select * from kb",
+    "conv_bm25": f"with {M_}, {Q_}, {_bm25_sql('(select event_id, content as text from m)', 'event_id')} select * from kb",
     "rrf": f"{CH_}, f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) score from ch group by 1, 2) select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from f) where rank <= {TOP}",
     "channel_status": f"{CH_}, x as (select query_id, unnest(['text', 'title']) channel from q), n as (select query_id, channel, count(*) n from ch group by 1, 2) select query_id, channel, coalesce(n, 0) n, case when n > 0 then 'complete' else 'empty' end status from x left join n using (query_id, channel)",
     "seed_mass": f"{CH_}, x as (select query_id, doc_id, (1.0::double / rank) / sum(1.0::double / rank) over (partition by query_id, channel) s from ch), n as (select query_id, count(distinct channel) k from ch group by 1) select query_id, doc_id, round(sum(s / k), 9) mass from x join n using (query_id) group by 1, 2",
@@ -379,16 +393,15 @@ ORACLES = {
     "vec_mean": f"with {_POOL.format(w='1.0::double')}",
     "vec_pool": f"with {_POOL.format(w='(id % 7 + 1)')}",
     "vector_topk": f"with {V_}, x as (select a.id query_id, b.id row_id, round(list_dot_product(a.e, b.e), 6) similarity from v a join v b on a.id <> b.id where a.id % 50 = 0) select * from (select *, row_number() over (partition by query_id order by similarity desc, row_id) rank from x) where rank <= {TOP}",
-    "edge_mutual_topk": f"with {V_}, x as (select a.id q, b.id r, round(list_dot_product(a.e, b.e), 6) s from v a join v b on a.id <> b.id), k as (select * from (select *, row_number() over (partition by q order by s desc, r) n from x) where n <= {NEIGHBOURS} and s >= {LEAST_COSINE}) select a.q src, a.r dst, a.s weight from k a join k b on a.q = b.r and a.r = b.q where a.q < a.r",
+    "edge_mutual_topk": f"with {V_}, {MU_} select * from mu",
     "edge_shared_entity": f"with {E_} select * from se",
-    "edge_keyword": f"with {M_}, kt as (select distinct event_id key, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) term from m), k as (select key, term from kt join (select term from kt where length(term) >= 2 group by 1 having count(*) between 2 and 32) using (term)), z as (select key, count(*) n from k group by 1), p as (select a.key src, b.key dst, count(*) n from k a join k b using (term) where a.key < b.key group by 1, 2) select src, dst, round(p.n / (x.n + y.n - p.n), 9) weight from p join z x on src = x.key join z y on dst = y.key",
+    "edge_keyword": f"with {M_}, {KW_} select * from kw",
     "jaccard": f"with {M_}, x as (select event_id, list_distinct(regexp_extract_all(content, '[A-Z][a-z]{{4,}}')) a, session_id, sequence from m where role = 'user'), y as (select *, lag(a) over (partition by session_id order by sequence) b from x) select event_id, case when len(a) > 0 and len(b) > 0 then round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) end distance from y",
     "graph_edges": f"with {ED_} select * from fo",
     "graph_nodes": f"with {E_}, nd as (select 'message' kind, event_id source_id from m union all select distinct 'session', session_id from m union all select distinct 'entity', term from ek) select kind, source_id, sha256(kind || chr(31) || source_id) node_id from nd",
-    "graph_report": f"with {ED_}, k as (select unnest(['reply', 'adjacent', 'shared_entity', 'mutual_topk', 'conflict']) kind), nk as (select kind, count(*) n, round(sum(weight), 6) w from fo group by 1) select kind, coalesce(n, 0) n_edges, coalesce(w, 0.0)::double weight from k left join nk using (kind)",
-    "graph_scope": f"with {ED_}, x as (select distinct session_id, kind, src, dst from fo join m on event_id = src or event_id = dst), tt as (select session_id, count(*) n_edges from x group by 1) select session_id, count(*) n_nodes, coalesce(any_value(n_edges), 0) n_edges from m left join tt using (session_id) group by 1",
+    "graph_report": f"with {ED_}, k as (select unnest({list(KINDS)}) kind), nk as (select kind, count(*) n, round(sum(weight), 6) w from fo group by 1) select kind, coalesce(n, 0) n_edges, coalesce(w, 0.0)::double weight from k left join nk using (kind)",
+    "graph_scope": f"with {ME_}, fo as ({_FOLD.format('me')}), x as (select distinct session_id, kind, src, dst from fo join m on event_id = src or event_id = dst), tt as (select session_id, count(*) n_edges from x group by 1) select session_id, count(*) n_nodes, coalesce(any_value(n_edges), 0) n_edges from m left join tt using (session_id) group by 1",
     "scope_entities": f"with {E_} select distinct session_id, term from en join m on key = event_id",
-    "ppr": f"with {ST_} select node, round(score, 9) score from r{ROUNDS}",
     "best_path": f"with {ST_}, z as (select node seed, node target, 0 hops, mass quality from sd), o as (select seed, dst target, 1 hops, max(quality * p) quality from z join sp on target = src where dst <> seed group by 1, 2), w as (select seed, dst target, 2 hops, max(quality * p) quality from o join sp on target = src where dst <> seed group by 1, 2), a as (select seed, target, hops, round(quality, 9) quality from (select * from z union all select * from o union all select * from w)) select seed, target, hops, quality from (select *, row_number() over (partition by target order by quality desc, hops, seed) r from a) where r = 1",
     "shortest_leaf": "with c as (select distinct clause_id, event_id, start_char, end_char from source_clauses where clause_id is not null and event_id is not null and end_char > start_char), x as (select a.clause_id asked, b.clause_id leaf, row_number() over (partition by a.clause_id order by b.end_char - b.start_char, b.clause_id) k from c a join c b on a.event_id = b.event_id and b.start_char <= (a.start_char + a.end_char) // 2 and (a.start_char + a.end_char) // 2 < b.end_char) select asked, leaf from x where k = 1",
     "doc_asof": f"with {M_}, x as (select m.*, created_at from m join t on split_part(event_id, ':', 1) = t.id) select session_id, bool_and(created_at <= '{CUTOFF}') visible, count(*) n from x group by 1",

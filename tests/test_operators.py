@@ -68,16 +68,15 @@ def test_pagerank_keeps_its_mass(spark):
 
 def test_bm25_and_fusion(spark):
     texts = spark.createDataFrame([(1, "red cat"), (2, "red red dog"), (3, None), (4, "blue bird"), (5, "")], "id long, t string")
-    posted = lexical.postings(texts, "id", "t")
-    size = posted.groupBy("id").agg(F.first("length").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     q = spark.createDataFrame([("q", "red"), ("q", "cat"), ("z", "nothing")], "query_id string, term string")
-    got = [(r.id, r.rank) for r in lexical.bm25(posted, size, q, "id", 5, 1.0).orderBy("rank").collect()]
+    got = [(r.id, r.rank) for r in lexical.bm25(texts, q, "id", "t", 5).orderBy("rank").collect()]
     assert got == [(1, 1), (2, 2)]
     ranked = spark.createDataFrame([("q", 1, "a", 1), ("q", 2, "a", 2), ("q", 2, "b", 1)], "query_id string, id int, channel string, rank int")
     assert [r.id for r in lexical.fuse(ranked, "id", 5).orderBy("rank").collect()] == [2, 1]
 
 
-def test_nearest_in_blocks_equals_all_pairs(spark):
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
     import numpy as np
 
     rng = np.random.default_rng(0)

@@ -35,7 +35,7 @@ def test_cjk_runs_give_grams(spark):
 def test_cjk_question_meets_a_text_that_shares_a_part(spark):
     texts = spark.createDataFrame([(1, "昨日の会議は長かった。"), (2, "天気がよい。")], "id long, t string")
     q = spark.createDataFrame([("q", "会議はいつですか")], "query_id string, q string").select("query_id", F.explode(F.array_distinct(T.tokens(F.col("q")))).alias("term"))
-    assert [r.id for r in lexical.bm25(lexical.postings(texts, "id", "t"), lexical.sizes(texts, "t"), q, "id", 5, 1.0).collect()] == [1]
+    assert [r.id for r in lexical.bm25(texts, q, "id", "t", 5).collect()] == [1]
 
 
 @needs_data
@@ -56,10 +56,18 @@ def test_bm25_scores_every_term(spark):
     assert got == want
 
 
+def test_bm25_of_nothing_nulls_and_clashing_columns(spark):
+    texts = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b", "x"), (4, "a b", None), (5, "a " * 30000, "x")], "id long, t string, score string")
+    q = spark.createDataFrame([("q", "a"), ("q", "zzz"), (None, "b")], "query_id string, term string")
+    got = lexical.bm25(texts, q, "id", "t", 2).collect()
+    assert {(r.query_id, r["rank"]) for r in got} == {("q", 1), ("q", 2), (None, 1), (None, 2)} and all(r.id > 2 for r in got)
+    assert lexical.bm25(texts.limit(0), q, "id", "t", 2).count() == 0 and lexical.bm25(texts, q.limit(0), "id", "t", 2).count() == 0
+
+
 def test_bm25_in_many_blocks(spark, monkeypatch):
     texts = spark.createDataFrame([(i, "common " + "x " * (i % 7) + ("rare" if i == 50 else "")) for i in range(90)], "id long, t string")
     q = spark.createDataFrame([(f"q{i}", t) for i in range(9) for t in ("common", "rare")], "query_id string, term string")
-    run = lambda: {tuple(r) for r in lexical.bm25(lexical.postings(texts, "id", "t"), lexical.sizes(texts, "t"), q, "id", 4).collect()}
+    run = lambda: {tuple(r) for r in lexical.bm25(texts, q, "id", "t", 4).collect()}
     one = run()
     monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
     monkeypatch.setattr(lexical, "TEXT_BLOCK", 5)
