@@ -119,7 +119,7 @@ def test_gap_states_follow_the_profile(spark, tmp_path):
 
     held = "session_id string, profile_id string, event_id string, created_at string, previous_user_created_at string, content string, previous_user_content string, cosine_similarity double"
     row = lambda e, profile, now, content="so": ("s", profile, e, f"2024-01-01T{now}Z", "2024-01-01T00:00:00Z", content, "so", 0.9)
-    rows = [row("a", "kiosk", "00:12:00"), row("b", "kiosk", "00:13:00"), row("c", "classroom", "00:44:00"), row("d", "classroom", "00:46:00"), row("e", "none", "00:31:00"), row("f", "classroom", "00:01:00", "One more thing")]
+    rows = [row("a", "kiosk", "00:12:00"), row("b", "kiosk", "00:13:00"), row("c", "classroom", "00:44:00"), row("d", "classroom", "00:46:00"), row("e", "none", "00:31:00"), row("f", "classroom", "00:01:00", "A New Topic, please")]
     spark.createDataFrame(rows, held).write.parquet(f"{tmp_path}/boundary_inputs.parquet")
     limits = [("kiosk", 1, 30), ("kiosk", 2, 12), ("classroom", 2, 45)]
     spark.createDataFrame(limits, "profile_id string, config_version int, episode_gap_minutes int").write.parquet(f"{tmp_path}/memory_configs.parquet")
