@@ -119,8 +119,30 @@ def members(texts: DataFrame, classes: Sequence[str], weights: np.ndarray, ranks
     return sized.groupBy("text_key").agg(first).select("f.item_id", "f.source", "f.n_tokens", "f.m").where("n_tokens > 0")
 
 
-def _dot(m: Column, v: Column) -> Column:
-    return F.aggregate(F.zip_with(m, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+def _rate(history: np.ndarray, m: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """Rates after all steps; a step takes away the membership's part of it and keeps the rate within 0 and the cap."""
+    rate = np.zeros(len(m))
+    for step in history:
+        rate = np.clip(rate - m @ step, 0, cap)
+    return rate
+
+
+def _reached(held: DataFrame, history: np.ndarray, k: int) -> np.ndarray:
+    """Expected totals at the rates after all steps: k sums of each partition, added up."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(k)
+        for b in batches:
+            if len(b):
+                m = np.stack(b["m"].to_numpy())
+                total += (_rate(history, m, b["cap"].to_numpy(float)) * b["n_tokens"].to_numpy(float)) @ m
+        yield pd.DataFrame({"i": np.arange(k, dtype=np.int32), "total": total})
+
+    rows = held.select("n_tokens", "m", "cap").mapInPandas(part, "i int, total double").groupBy("i").agg(F.sum("total").alias("total")).collect()
+    got = np.zeros(k)
+    for r in rows:  # one row per source
+        got[r["i"]] = r["total"]
+    return got
 
 
 def _array(v) -> Column:
@@ -152,18 +174,19 @@ def rates(held: DataFrame, shares: np.ndarray) -> tuple[Column, np.ndarray, list
     history: list[np.ndarray] = [-(inverse @ target)]  # the first step, from rates of 0
     distance: list[float] = []
 
-    def rate() -> Column:
-        steps = F.array(*[_array(v) for v in history])
-        clip = lambda r: F.least(F.col("cap").cast("double"), F.greatest(F.lit(0.0), r))
-        return F.aggregate(steps, F.lit(0.0), lambda r, v: clip(r - _dot(F.col("m"), v)))
-
     for _ in range(STEPS):
-        gap = _totals(held, rate(), k) - target
+        gap = _reached(held, np.array(history), k) - target
         distance.append(float(np.abs(gap).sum() / max(1.0, total)))
         if distance[-1] < NEAR or (len(distance) > 3 and distance[-1] > 0.999 * distance[-3]):
             break
         history.append(inverse @ gap)
-    return rate(), target, distance
+    steps = np.array(history)
+
+    @F.pandas_udf("double")
+    def rate(m: pd.Series, cap: pd.Series) -> pd.Series:
+        return pd.Series(_rate(steps, np.stack(m.to_numpy()), cap.to_numpy(float)) if len(m) else [], dtype="float64")
+
+    return rate("m", "cap"), target, distance
 
 
 def _uniform(seed: int) -> Column:

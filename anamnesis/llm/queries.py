@@ -15,6 +15,10 @@ from anamnesis.session import cut
 from anamnesis.sources.tables import table
 
 
+#: How near a reached share must be; a small source's few texts can't fit any better at small scales.
+NEAR_SHARE = 0.005
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all oversized snapshots and clauses; repeated rows of an item are folded first."""
     limits = table(spark, folder, "size_limits").select("item_kind", "max_chars", "overlap_chars")
@@ -49,6 +53,21 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p2_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every item's pieces: without their overlaps they are the whole text, and all keep within the limit."""
+    limits = table(spark, folder, "size_limits").select("item_kind", "max_chars", "overlap_chars")
+    p = _pieces(spark, folder).select("item_kind", "item_id", "piece_no", "start_char", "end_char", F.col("overlap_chars").alias("shared"), F.char_length("text").alias("n"))
+    new = F.col("end_char") - F.col("start_char") - F.col("shared")
+    return p.join(limits, "item_kind").groupBy("item_kind", "item_id").agg(
+        F.sum(new).alias("n_chars"),
+        F.min("start_char").alias("first_char"),
+        F.max("end_char").alias("last_char"),
+        F.bool_and(F.col("n") == F.col("end_char") - F.col("start_char")).alias("texts_fit"),
+        F.bool_and((F.col("n") <= F.col("max_chars")) & (F.col("shared") <= F.col("overlap_chars"))).alias("within"),
+        (F.max("piece_no") == F.count(F.lit(1)) - 1).alias("numbered"),
+    )
+
+
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
     """Defects of each turn's last saved state; pending and blocked turns are left out."""
     state = F.struct("updated_at", "status", "user_content", "assistant_content", "done_reason", "error")
@@ -153,6 +172,16 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every kind of container: all texts are in, none is over capacity, and only texts over it are parted."""
+    placed = _packed(spark, folder)
+    by = placed.groupBy("container_kind", "capacity", "item_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("parts"), F.countDistinct("part_no").alias("numbers"))
+    odd = (F.col("parts") != F.ceil(F.col("n") / F.col("capacity"))) | (F.col("parts") != F.col("numbers"))
+    texts = by.groupBy("container_kind", "capacity").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(odd).alias("n_odd"))
+    full = placed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"), F.max("capacity").alias("most"))
+    return texts.join(full.groupBy("container_kind").agg(F.count_if(F.col("used") > F.col("most")).alias("n_over")), "container_kind")
+
+
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray, list[int]]:
     goals = table(spark, folder, "mix_targets").where("source is not null").orderBy("source").collect()  # a small table
     classes, shares, caps = [r["source"] for r in goals], np.array([float(r["target_share"]) for r in goals]), [int(r["max_repeats"]) for r in goals]
@@ -200,8 +229,21 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_all_defects": p4_all_defects, "p6_assignments": p6_assignments, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+def p7_caps(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every target: its share is near, by membership and by stored source, and no text is taken too often."""
+    x = p7_shares(spark, folder)
+    near = lambda c: F.abs(F.col(c) - F.col("target_share")) <= NEAR_SHARE
+    return x.select("source", "target_share", near("reached_share").alias("near"), near("stored_share").alias("stored_near"), (F.coalesce("most_copies", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_cover": p2_cover, "p4_found": p4_found, "p4_all_defects": p4_all_defects, "p6_assignments": p6_assignments, "p6_fill": p6_fill, "p6_cover": p6_cover, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_caps": p7_caps, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 ORACLES = {
+    "p2_cover": """
+  with i as (select 'snapshot' item_kind, revision_id item_id, content t from knowledge_snapshots union select 'clause', clause_id, text from source_clauses)
+  select item_kind, item_id, length(t) n_chars, 0 first_char, length(t)::int last_char, true texts_fit, true as "within", true numbered
+  from i join size_limits using (item_kind) where length(t) > max_chars and item_id is not null""",
+    "p6_cover": "select container_kind, capacity_tokens::bigint capacity, (select count(*) from documents where text <> '' and doc_id is not null) n_texts, 0::bigint n_odd, 0::bigint n_over from pack_sizes",
+    "p7_caps": "select source, target_share, true near, true stored_near, true within_cap from mix_targets",
     "p2_found": r"""
   with i as (select 'snapshot' item_kind, revision_id item_id, content t from knowledge_snapshots
       union select 'clause', clause_id, text from source_clauses)
