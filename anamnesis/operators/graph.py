@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,48 @@ def pagerank(steps: DataFrame, seeds: DataFrame, rounds: int = MOST_ROUNDS, tole
     return score.where("score > 0").select("node", "score")
 
 
+def _rank_one(graph: pd.DataFrame, seeds: pd.DataFrame, rounds: int, tolerance: float) -> tuple[list, np.ndarray]:
+    """Nodes and scores of one small graph of undirected edges; what nodes without edges hold goes back to the seeds."""
+    nodes = sorted({*graph["src"], *graph["dst"], *seeds["node"]})
+    at = {x: i for i, x in enumerate(nodes)}
+    a, b = (np.array([at[x] for x in graph[c]], int) for c in ("src", "dst"))
+    src, dst, w = np.concatenate((a, b)), np.concatenate((b, a)), np.tile(graph["weight"].to_numpy(float), 2)
+    out = np.bincount(src, w, len(nodes))
+    mass = np.bincount([at[x] for x in seeds["node"]], seeds["mass"].to_numpy(float), len(nodes))
+    p, score = w / np.maximum(out[src], 1e-300), mass
+    for _ in range(rounds):
+        new = RESTART * mass + (1 - RESTART) * (np.bincount(dst, score[src] * p, len(nodes)) + score[out == 0].sum() * mass)
+        change, score = np.abs(new - score).sum(), new
+        if change <= tolerance:
+            break
+    return nodes, score
+
+
+def pagerank_by_query(edges: DataFrame, seeds: DataFrame, hops: int = 2, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(query_id, node, score): PageRank from each query's own seeds, on the edges within so many hops of them.
+
+    edges: (src, dst, weight), undirected; seeds: (query_id, node, mass), the masses of a query add up to
+    one. Seeds are few and degrees are bounded (shared terms by MOST_DF), so a query's graph is small
+    and one task may hold it; the graphs are found by joins and queries are dealt out to the tasks.
+    """
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    met = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    near = seeds.select("query_id", "node").distinct()
+    for _ in range(hops - 1):
+        near = near.unionByName(near.join(met, near["node"] == met["src"]).select("query_id", F.col("dst").alias("node"))).distinct()
+    held = near.join(met, near["node"] == met["src"]).select("query_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").distinct()
+    asked = seeds.select(F.col("query_id").alias("of"), "node", "mass")
+    kind = dict(seeds.dtypes)["query_id"]
+
+    def rank(graph: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"query_id": graph["query_id"][:0], "node": graph["src"][:0], "score": pd.Series(dtype="float64")})
+        nodes, score = _rank_one(graph, mine, rounds, tolerance)
+        return pd.DataFrame({"query_id": mine["of"].iat[0], "node": nodes, "score": score})
+
+    return held.groupBy("query_id").cogroup(asked.groupBy("of")).applyInPandas(rank, f"query_id {kind}, node string, score double").where("score > 0")
+
+
 def best_paths(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     """(target, seed, hops, quality): the best path of at most two hops from any seed to each node.
 

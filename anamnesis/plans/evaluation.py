@@ -172,7 +172,7 @@ def eval_summary(s, d):
 
 
 def eval_resume(s, d):
-    """K7: cases that no case of their group with a smaller id comes before: what a run that did those would still have to do."""
+    """Cases that no case of their group with a smaller id comes before: what a run that did those would still have to do."""
     c = table(s, d, "eval_cases").where("id is not null").select("id", "group_id").distinct()
     done = c.groupBy("group_id").agg(F.min("id").alias("id")).select("id")
     return c.join(done, "id", "left_anti").select("id", "group_id")
@@ -218,7 +218,7 @@ def revision_conflicts(s, d):
 
 
 def link_targets(s, d):
-    """Links of snapshots by whether their source has a document of that key."""
+    """Links of snapshots by whether their source has a document of that key."""
     k = table(s, d, "knowledge_snapshots").where("source_id is not null")
     keys = k.select("source_id", F.col("document_key").alias("link")).distinct().withColumn("there", F.lit(True))
     links = k.where("revision_id is not null").select("source_id", "revision_id", F.explode("links").alias("link")).distinct()
@@ -284,7 +284,7 @@ def boundary_votes(s, d):
 
 
 def votes_audit(s, d):
-    """stored decisions by whether their votes are those of their signals."""
+    """Stored decisions by whether their votes are those of their signals."""
     t = table(s, d, "boundary_decisions").where("before_event_id is not null")
     n = F.size(F.filter("soft_signals", lambda x: x["state"] == "true"))
     return t.select("before_event_id", "soft_true_votes", n.alias("n")).distinct().groupBy((F.col("soft_true_votes") == F.col("n")).alias("equal")).agg(F.count(F.lit(1)).alias("n"))

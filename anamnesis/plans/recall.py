@@ -16,6 +16,8 @@ from anamnesis.sources.tables import table
 
 #: The reference's limit of lexical and vector candidates, and of neighbours of a vector.
 TOP, NEIGHBOURS, LEAST_COSINE = 64, 5, 0.30
+#: The reference's limit of graph candidates; and the candidates of a question that seed its graph.
+GRAPH_TOP, SEEDS = 32, 8
 KINDS = ("reply", "adjacent", "shared_entity", "keyword", "mutual_topk", "episode_member", "replacement")
 CUTOFF = "2024-09-01"
 
@@ -265,6 +267,20 @@ def ppr(s, d):
     return graph.pagerank(steps, seeds).select("node", F.round("score", 9).alias("score"))
 
 
+def ppr_questions(s, d):
+    """For every question the messages near its best candidates, whose mass is one over their rank, scaled to one.
+
+    Replies, neighbours and shared entities are the edges; keyword edges have no bounded degree.
+    """
+    c = conv_bm25(s, d).where(F.col("rank") <= SEEDS)
+    mass = (1 / F.col("rank")) / F.sum(1 / F.col("rank")).over(Window.partitionBy("query_id"))
+    seeds = cut(c.select("query_id", F.col("event_id").alias("node"), mass.alias("mass")))
+    edges = _message_edges(s, d).where("kind <> 'keyword'")
+    ranked = graph.pagerank_by_query(edges, seeds).select("query_id", "node", F.round("score", 9).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
+    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= GRAPH_TOP)
+
+
 def best_path(s, d):
     """T5: the best path of at most two hops to every message."""
     return graph.best_paths(*_steps_and_seeds(s, d))
@@ -376,7 +392,7 @@ QUERIES = {
     for f in (
         term_df, kb_bm25, conv_bm25, rrf, channel_status, seed_mass, subqueries, vec_normalize, vec_audit, cosine, vec_mean, vec_pool,
         vector_topk, edge_mutual_topk, vec_codec, edge_shared_entity, edge_keyword, jaccard, graph_edges, graph_nodes, graph_report,
-        graph_scope, scope_entities, ppr, best_path, shortest_leaf, doc_asof, claims_asof, claim_transitions,
+        graph_scope, scope_entities, ppr, ppr_questions, best_path, shortest_leaf, doc_asof, claims_asof, claim_transitions,
     )
 }
 ORACLES = {

@@ -22,16 +22,27 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local session without one, as in tests, gets a temporary folder; on a cluster that would
+    be a disk that the other machines do not see, so there it is an error.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and read it back, which ends its lineage.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset,
-    as in tests, a temporary folder is taken.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -43,8 +54,8 @@ def width(spark: SparkSession) -> int:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal rows out by a key where a scan has fewer partitions than there are cores.
 
-    For work that costs far more per row than moving the row does. A large table has enough
-    partitions and is left as it is; the rows are the same either way.
+    For row by row work that costs far more than moving the row does, and whose rows are the same
+    however they are dealt out. A large table has enough partitions and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

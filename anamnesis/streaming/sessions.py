@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anamnesis.session import shared_folder
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder beside the cluster's checkpoints, or a temporary one where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named}/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="spark-")
+    """A new folder beside the cluster's checkpoints."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def session_windows(events: DataFrame, entity: str, ts: str, gap: str, late: str) -> DataFrame:
