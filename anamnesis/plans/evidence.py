@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions import text as T
-from anamnesis.operators import graph, turns
+from anamnesis.operators import control, graph, turns
 from anamnesis.operators.ordered import neighbours
 from anamnesis.plans import conversation as C
 from anamnesis.plans import evaluation as E
@@ -20,6 +20,8 @@ KNOWLEDGE_ITEMS, KNOWLEDGE_CHARS, CORE_ITEMS, CORE_CHARS = 4, 3200, 4, 1600
 #: Entities of a session that are shown, sessions of the newest list, results of a mask.
 ENTITIES, NEWEST, MASKED = 12, 50, 10
 SYSTEM_SIZE = 256
+#: Beginnings of session ids that are asked for, and names shown for an ambiguous one.
+PREFIXES, SHOWN = (5, 6, 8), 5
 #: A clause longer than HALF characters is halved; without a weak mark the halves share OVERLAP characters.
 HALF, OVERLAP = 64, 32
 MASKS = {"text": ("text",), "title": ("title",), "full": ("text", "title")}
@@ -336,6 +338,64 @@ def context_plan(s, d):
     return c.select("id", F.explode(parts).alias("x")).select("id", "x.*")
 
 
+def session_resolve(s, d):
+    """S3: what the beginnings of session ids, of 5, 6, 8 and all characters, resolve to: exact, unique or ambiguous, with up to five names."""
+    ids = table(s, d, "turns").where("session_id is not null").select("session_id").distinct()
+    cuts = F.array(*[F.substring("session_id", 1, n) for n in PREFIXES], F.col("session_id"))
+    asked = ids.select("session_id", F.explode(F.array_distinct(cuts)).alias("asked"))
+    w = Window.partitionBy("asked").orderBy("session_id")
+    shown = asked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SHOWN)
+    names = shown.groupBy("asked").agg(F.array_join(F.array_sort(F.collect_list("session_id")), ",").alias("names"))
+    n = asked.groupBy("asked").agg(F.count(F.lit(1)).alias("n_matches"), F.bool_or(F.col("asked") == F.col("session_id")).alias("exact"))
+    kind = F.when(F.col("exact"), "exact").when(F.col("n_matches") == 1, "unique").otherwise("ambiguous")
+    return n.join(names, "asked").select("asked", kind.alias("kind"), "n_matches", "names")
+
+
+def source_last_good(s, d):
+    """K4, K5: each source's last good sync, which stays in force after failed ones, and how many failed after it."""
+    rows = table(s, d, "source_states").where("sync_id is not null and source_id is not null")
+    held = F.struct("delivered_at", "source_id", "enabled", "last_sync_at", "last_success_at", F.size("active_revisions").alias("n"))
+    last = rows.groupBy("sync_id").agg(F.max(held).alias("r")).select("sync_id", "r.*")
+    good = F.col("enabled") & (F.col("last_success_at") == F.col("last_sync_at"))
+    by = last.groupBy("source_id").agg(
+        F.max(F.when(good, F.struct("last_sync_at", "sync_id", "n"))).alias("g"), F.max_by("enabled", F.struct("last_sync_at", "sync_id")).alias("enabled_now"), F.count(F.lit(1)).alias("n_syncs")
+    )
+    after = last.join(by.select("source_id", F.col("g.last_sync_at").alias("since")), "source_id").where(~F.coalesce(good, F.lit(False)) & (F.col("since").isNull() | (F.col("last_sync_at") > F.col("since"))))
+    n = after.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_failed_after"))
+    return by.join(n, "source_id", "left").select("source_id", "n_syncs", "enabled_now", F.col("g.sync_id").alias("good_sync"), F.col("g.n").alias("n_active"), F.coalesce("n_failed_after", F.lit(0)).alias("n_failed_after"))
+
+
+def edge_provenance(s, d):
+    """A1: what every edge of shared entities rests on: the names, in order. A pair shares at most the names of one message."""
+    kept = graph.shared(R._entities(s, d))
+    a, b = kept.select(F.col("key").alias("src"), "term"), kept.select(F.col("key").alias("dst"), "term")
+    met = a.join(b, "term").where("src < dst").groupBy("src", "dst")
+    return met.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"))
+
+
+def stage_status(s, d):
+    """A session's state from its stages, facts (its events' clauses) and boundaries (their decisions).
+
+    A stage is up to date if all events are done, completed if those up to the watermark are. An
+    excluded session is cancelled; else all, some or no stages decide.
+    """
+    b = table(s, d, "boundary_inputs").where("event_id is not null and session_id is not null")
+    e = b.groupBy("session_id", "event_id").agg(F.min("sequence").alias("sequence"))
+    mark = b.groupBy("session_id").agg(F.max("watermark_before").alias("watermark"))
+    done = lambda name, key, out: table(s, d, name).where(F.col(key).isNotNull()).select(F.col(key).alias("event_id")).distinct().withColumn(out, F.lit(True))
+    e = e.join(mark, "session_id").join(done("source_clauses", "event_id", "fact"), "event_id", "left").join(done("boundary_decisions", "before_event_id", "boundary"), "event_id", "left")
+    inside = F.coalesce(F.col("sequence") <= F.col("watermark"), F.lit(False))
+    left = lambda c, of=F.lit(True): F.count_if(F.col(c).isNull() & of)
+    by = e.groupBy("session_id").agg(left("fact").alias("f"), left("fact", inside).alias("fi"), left("boundary").alias("b"), left("boundary", inside).alias("bi"))
+    state = lambda every, part: F.when(F.col(every) == 0, "up_to_date").when(F.col(part) == 0, "completed").otherwise("failed")
+    gone = control.hidden(table(s, d, "control_records"), "session").select(F.col("target_id").alias("session_id"), F.lit(True).alias("gone"))
+    by = by.join(gone, "session_id", "left").select("session_id", state("f", "fi").alias("facts"), state("b", "bi").alias("boundaries"), "gone")
+    n = F.when(F.col("facts") != "failed", 1).otherwise(0) + F.when(F.col("boundaries") != "failed", 1).otherwise(0)
+    fresh = (F.col("facts") == "up_to_date") & (F.col("boundaries") == "up_to_date")
+    whole = F.when(F.col("gone"), "cancelled").when(fresh, "up_to_date").when(n == 2, "completed").when(n == 1, "partial").otherwise("failed")
+    return by.select("session_id", "facts", "boundaries", whole.alias("status"))
+
+
 _KS = f"""{R.KB_.replace('with ', 'with recursive ', 1)},
   kc as (select query_id, rank, doc_id, coalesce(source_id, '') || chr(31) || coalesce(document_key, '') k, sha256(coalesce(text, '')) h, length(text) n from kb join documents using (doc_id)),
   kx as (select query_id, 0::bigint rank, 0::bigint used, []::varchar[] ks, []::varchar[] hs, 'start' reason, null::bigint doc_id from (select distinct query_id from kb)
@@ -359,6 +419,7 @@ QUERIES = {
         node_visible, edge_visible, scope_nodes, prefix_validity, sequence_duplicates, configured_revisions, active_range, gold_resolution,
         decision_reasons, assistant_contexts, entity_order, newest_sessions, cache_split, evidence_sessions, clause_names, clause_split,
         plan_tokens, canonical_hash, row_digest, delta_merge, memory_status, evidence_caps, context_plan,
+        session_resolve, source_last_good, edge_provenance, stage_status,
     )
 }
 _NEAR = "list_sort(list_transform(list_filter(range(1, length(text)), lambda i: text[i] in (',', '，', '、', ':', '：')), lambda i: {'off': abs(i - length(text) // 2), 'at': i}))"
@@ -396,4 +457,8 @@ ORACLES = {
     "memory_status": f"with {C.M_}, y as (select epoch_ms(updated_at::timestamptz) - epoch_ms(created_at::timestamptz) v from t where status = 'complete'), z as (select list_sort(list(v / 1000.0::double)) a from y where v is not null) select 'turns_' || coalesce(status, 'unknown') metric, count(*)::double as value from t group by 1 union all select 'sessions', count(distinct session_id) from t union all select 'messages', count(*) from m union all select 'vectors', count(embedding) from embeddings union all select 'seconds_p50', a[ceil((len(a) - 1) * 0.5)::int + 1] from z union all select 'seconds_p95', a[ceil((len(a) - 1) * 0.95)::int + 1] from z",
     "evidence_caps": f"with {_BP}, l as (select id, evidence, list(size) over (partition by id order by b, rank rows between unbounded preceding and current row) upto from bt), f as (select id, evidence, list_reduce(list_concat([0::bigint], upto), lambda a, x: case when a % 1000000 + x <= {CORE_CHARS} and a // 1000000 < {CORE_ITEMS} then a + x + 1000000 else a end) a, list_reduce(list_concat([0::bigint], upto[:-2]), lambda a, x: case when a % 1000000 + x <= {CORE_CHARS} and a // 1000000 < {CORE_ITEMS} then a + x + 1000000 else a end) b from l) select id, evidence, a > b kept from f",
     "context_plan": f"{_KS}, {E.BP_}, bt as (select id, bucket, size from bs left join bg using (id, evidence) where taken or late), kn as (select query_id id, sum(length(text)) n from ks join documents using (doc_id) where reason = 'selected_core' group by 1), ta as (select id, sum(size) filter (bucket <> 'recent_history') e, sum(size) filter (bucket = 'recent_history') h from bt group by 1), x as (select id, strlen(question) c, n, e, h from ca left join kn using (id) left join ta using (id)) select id, 1 part_no, 'system' part, {SYSTEM_SIZE}::bigint size from x union all select id, 2, 'knowledge', coalesce(n, 0)::bigint from x union all select id, 3, 'evidence', coalesce(e, 0)::bigint from x union all select id, 4, 'history', coalesce(h, 0)::bigint from x union all select id, 5, 'current', coalesce(c, 0)::bigint from x",
+    "session_resolve": f"with i as (select distinct session_id from turns where session_id is not null), a as (select distinct session_id, unnest([{', '.join(f'left(session_id, {n})' for n in PREFIXES)}, session_id]) asked from i), r as (select *, row_number() over (partition by asked order by session_id) k from a) select asked, case when bool_or(asked = session_id) then 'exact' when count(*) = 1 then 'unique' else 'ambiguous' end kind, count(*) n_matches, string_agg(session_id, ',' order by session_id) filter (k <= {SHOWN}) as names from r group by 1",
+    "source_last_good": "with l as (select *, enabled and last_success_at = last_sync_at good from (select *, row_number() over (partition by sync_id order by delivered_at desc) k from source_states where sync_id is not null and source_id is not null) where k = 1), g as (select source_id, count(*) n_syncs, arg_max(enabled, (last_sync_at, sync_id)) enabled_now, max(last_sync_at) filter (good) since, arg_max(sync_id, (last_sync_at, sync_id)) filter (good) good_sync, arg_max(len(active_revisions), (last_sync_at, sync_id)) filter (good)::int n_active from l group by 1) select g.source_id, any_value(n_syncs) n_syncs, any_value(enabled_now) enabled_now, any_value(good_sync) good_sync, any_value(n_active) n_active, count(*) filter (not coalesce(good, false) and (since is null or last_sync_at > since)) n_failed_after from g join l using (source_id) group by 1",
+    "edge_provenance": f"with {R.E_} select a.key src, b.key dst, count(*) n, string_agg(term, ',' order by term) terms from ek a join ek b using (term) where a.key < b.key group by 1, 2",
+    "stage_status": f"with {C.R_}, b as (select * from boundary_inputs where event_id is not null and session_id is not null), w as (select session_id, max(watermark_before) w from b group by 1), e as (select session_id, event_id, min(sequence) sequence from b group by 1, 2), x as (select e.*, coalesce(sequence <= w, false) inside, event_id not in (select event_id from source_clauses where event_id is not null) nf, event_id not in (select before_event_id from boundary_decisions where before_event_id is not null) nb from e join w using (session_id)), y as (select session_id, case when count(*) filter (nf) = 0 then 'up_to_date' when count(*) filter (nf and inside) = 0 then 'completed' else 'failed' end facts, case when count(*) filter (nb) = 0 then 'up_to_date' when count(*) filter (nb and inside) = 0 then 'completed' else 'failed' end boundaries from x group by 1) select *, case when session_id in (select target_id from hid where target_kind = 'session') then 'cancelled' when facts = 'up_to_date' and boundaries = 'up_to_date' then 'up_to_date' when facts <> 'failed' and boundaries <> 'failed' then 'completed' when facts <> 'failed' or boundaries <> 'failed' then 'partial' else 'failed' end status from y",
 }
