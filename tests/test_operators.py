@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from anamnesis.functions import text as T
 from anamnesis.operators import control, graph, lexical, turns, vectors
 from anamnesis.plans.conversation import INPUT, TRIM, WARN
-from anamnesis.plans.evaluation import percentile
+from anamnesis.plans.evaluation import percentiles
 
 
 def test_budget_numbers():
@@ -12,8 +12,8 @@ def test_budget_numbers():
 
 
 def test_percentile_is_the_upper_place(spark):
-    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0)], "v double")
-    assert df.agg(percentile(F.col("v"), 0.5).alias("p")).first().p == 3.0
+    df = spark.createDataFrame([("g", x) for x in (1.0, 2.0, 3.0, 4.0)], "g string, v double")
+    assert percentiles(df, ["g"], "v", {"p": 0.5}).first().p == 3.0
 
 
 def test_text_forms(spark):
